@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# One row per trading day: the only tables here that are windowed without a key.
-_DAYS = Window.partitionBy(F.lit(1)).orderBy("data_date")
+
+def _days() -> WindowSpec:
+    """One row per trading day: the only tables here that are windowed without a key."""
+    return Window.partitionBy(F.lit(1)).orderBy("data_date")
 
 
 def market_calendar(*tables: DataFrame, date: str = "data_date") -> DataFrame:
@@ -17,8 +19,8 @@ def market_calendar(*tables: DataFrame, date: str = "data_date") -> DataFrame:
         days = days.unionByName(t.select(F.col(date).alias("data_date")).distinct())
     return days.where("data_date IS NOT NULL").distinct().select(
         "data_date",
-        F.row_number().over(_DAYS).alias("day_no"),
-        F.lead("data_date").over(_DAYS).alias("next_date"),
+        F.row_number().over(_days()).alias("day_no"),
+        F.lead("data_date").over(_days()).alias("next_date"),
     )
 
 

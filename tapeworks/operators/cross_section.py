@@ -27,14 +27,14 @@ def winsor_z(long: DataFrame, keys: Sequence[str], value: str, out: str,
     else:
         known = known.withColumn("_w", F.col(value).cast("double"))
     moments = known.groupBy(*keys).agg(
-        F.count("_w").alias("_n"), F.avg("_w").alias("_m"), F.stddev_pop("_w").alias("_s"))
+        F.count("_w").alias("_zn"), F.avg("_w").alias("_zm"), F.stddev_pop("_w").alias("_zs"))
     z = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(
-        F.col("_w") - F.col("_m"), F.col("_s"))))
+        F.col("_w") - F.col("_zm"), F.col("_zs"))))
     return (
         known.join(moments, keys)
-        .withColumn(out, F.when(F.col("_n") < 2, F.lit(None).cast("double"))
-                    .when(F.col("_s") == 0, F.lit(0.0)).otherwise(z))
-        .drop("_w", "_n", "_m", "_s")
+        .withColumn(out, F.when(F.col("_zn") < 2, F.lit(None).cast("double"))
+                    .when(F.col("_zs") == 0, F.lit(0.0)).otherwise(z))
+        .drop("_w", "_zn", "_zm", "_zs")
     )
 
 

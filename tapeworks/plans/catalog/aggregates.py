@@ -1,5 +1,4 @@
 """Grouped statistics: counts, medians, breadth, coverage, strict sums."""
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeworks.config import DEFAULTS
@@ -91,10 +90,6 @@ def tick_daily_stats(spark, sf):
     return reports.tick_daily(V.ticks(spark, sf), 20)
 
 
-_LEVEL = {lv: up for lv, up in zip(range(1, 15), [999, 5000, 10000, 15000, 20000, 30000, 40000, 50000, 100000, 200000,
-                                                  400000, 600000, 800000, 1000000])}
-
-
 @query("level_buckets", W("levels") + """
 SELECT symbol, data_date, CAST(coalesce(sum(ratio) FILTER (level BETWEEN 1 AND 8), 0) AS DOUBLE) AS retail_ratio,
  CAST(coalesce(sum(ratio) FILTER (level BETWEEN 9 AND 11), 0) AS DOUBLE) AS medium_ratio,
@@ -201,5 +196,3 @@ def dashboard(spark, sf):
         "data_date", "total", "avg_score", "buy", "watch", "hold", "avoid", rounded(F.col("index_close"), 4).alias("index_close"),
         "index_change", F.array_join(F.transform("top", lambda x: x.cast("string")), ",").alias("top"))
 
-
-_ = Window

@@ -370,10 +370,10 @@ def source_priority(spark, sf):
 
 
 @query("event_window", W("bars", "actions") + """
-, t AS (SELECT symbol, max(data_date) AS as_of FROM bars GROUP BY 1)
+, t AS (SELECT symbol, arg_max(data_date, (turnover, data_date)) AS as_of FROM bars GROUP BY 1)
 SELECT a.symbol, t.as_of, a.data_date FROM actions a JOIN t USING (symbol) WHERE a.data_date > t.as_of - 45 AND a.data_date <= t.as_of""")
 def event_window(spark, sf):
-    at = V.bars(spark, sf).groupBy("symbol").agg(F.max("data_date").alias("as_of"))
+    at = V.bars(spark, sf).groupBy("symbol").agg(F.max_by("data_date", F.struct("turnover", "data_date")).alias("as_of"))
     return reports.event_window(V.actions(spark, sf), at, 45).select("symbol", "as_of", "data_date")
 
 

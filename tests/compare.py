@@ -91,7 +91,7 @@ def main(argv: list[str]) -> int:
     spark = local_session(8)
     con = duck(sf)
     queries, sql = entry.queries(), entry.oracle_sql()
-    picked = [n for n in queries if not argv or any(n.startswith(a) for a in argv)]
+    picked = [n for n, f in queries.items() if not argv or n in argv or f.__module__.split(".")[-1] in argv]
     failed = []
     for n in picked:
         try:
