@@ -64,10 +64,7 @@ def distinct_positions(df: DataFrame, keys: Sequence[str], value: str,
         *keys, "_v", "_ties", (F.col("_base") + F.col("_in")).alias("_below"), "_n")
 
 
-def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``df`` plus ``_ties``, ``_below``, ``_n`` of ``value`` inside ``keys``; NULL values get NULL."""
-    keys = list(keys)
-    pos = distinct_positions(df, keys, value)
+def _attach(df: DataFrame, pos: DataFrame, keys: list[str], value: str) -> DataFrame:
     right = pos.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                        "_v", "_ties", "_below", "_n")
     cond = F.col(value).cast("double") == F.col("_v")
@@ -76,10 +73,21 @@ def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.join(right, cond, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """1-based rank with ties averaged."""
-    return with_positions(df, keys, value).withColumn(
-        out, F.col("_below") + (F.col("_ties") + 1) / 2.0).drop("_ties", "_below", "_n")
+def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` plus ``_ties``, ``_below``, ``_n`` of ``value`` inside ``keys``; NULL values get NULL."""
+    return _attach(df, distinct_positions(df, keys, value), list(keys), value)
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """1-based ranks with ties averaged, one output column per (value -> name) entry.
+
+    All positions are taken from ``df`` itself, so branches do not stack up.
+    """
+    out = df
+    for value, name in values.items():
+        out = _attach(out, distinct_positions(df, keys, value), list(keys), value).withColumn(
+            name, F.col("_below") + (F.col("_ties") + 1) / 2.0).drop("_ties", "_below", "_n")
+    return out
 
 
 def percentile_score(df: DataFrame, keys: Sequence[str], value: str, out: str,

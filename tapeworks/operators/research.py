@@ -26,8 +26,7 @@ def rank_ic(df: DataFrame, keys: Sequence[str], x: str, y: str, min_names: int,
     """Spearman correlation per group (average ranks); groups that are too small or constant drop out."""
     keys = list(keys)
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = order_stats.average_rank(known, keys, x, "_rx")
-    ranked = order_stats.average_rank(ranked, keys, y, "_ry")
+    ranked = order_stats.average_ranks(known, keys, {x: "_rx", y: "_ry"})
     return pearson_by(ranked, keys, "_rx", "_ry", out).where(
         (F.col("n") >= min_names) & F.col(out).isNotNull())
 
@@ -134,8 +133,7 @@ def residualise(df: DataFrame, keys: Sequence[str], factor: str, baseline: str,
     """Rank of the factor with the rank of the baseline regressed out, per group."""
     keys = list(keys)
     known = df.where(F.col(factor).isNotNull() & F.col(baseline).isNotNull())
-    r = order_stats.average_rank(known, keys, factor, "_f")
-    r = order_stats.average_rank(r, keys, baseline, "_b")
+    r = order_stats.average_ranks(known, keys, {factor: "_f", baseline: "_b"})
     fit = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("_f").alias("_mf"), F.avg("_b").alias("_mb"),
         F.covar_pop("_f", "_b").alias("_cov"), F.var_pop("_b").alias("_var"))

@@ -1 +1,111 @@
-"""To come."""
+"""Parsing queries: lenient numbers, calendar text, report grids, HTML pages."""
+from pyspark.sql import functions as F
+
+from tapeworks.config import DEFAULTS
+from tapeworks.functions import dates as dt
+from tapeworks.functions.numbers import filing_shares, lenient_double, lenient_long, rounded
+from tapeworks.functions.text import method_category, website
+from tapeworks.plans import views as V
+from tapeworks.plans.catalog.registry import R, query
+from tapeworks.sources import reports as rep
+
+WV = V.with_views
+
+
+@query("lenient_numbers", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE {R("o_totalprice", 2)} END AS as_double,
+ CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(trunc(o_totalprice) AS BIGINT) END AS as_long FROM orders""")
+def lenient_numbers(spark, sf):
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "--").otherwise(
+        F.concat(F.lit(" "), F.format_number("o_totalprice", 2), F.lit(" "))).alias("t"))
+    return o.select("o_orderkey", rounded(lenient_double("t"), 2).alias("as_double"), lenient_long("t").alias("as_long"))
+
+
+@query("roc_dates", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS slash, CAST(o_orderdate AS DATE) AS cjk, CASE WHEN year(o_orderdate) >= 2011 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) END AS compact,
+ last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders""")
+def roc_dates(spark, sf):
+    y = (F.year("o_orderdate") - 1911).cast("string")
+    y3 = F.lpad(y, 3, "0")
+    o = V.table(spark, sf, "orders").select(
+        "o_orderkey", F.concat_ws("/", y, F.month("o_orderdate"), F.day("o_orderdate")).alias("s"),
+        F.concat(y, F.lit("年"), F.date_format("o_orderdate", "MM"), F.lit("月"), F.date_format("o_orderdate", "dd"), F.lit("日")).alias("c"),
+        F.concat(y3, F.date_format("o_orderdate", "MMdd")).alias("k"), F.concat(y3, F.date_format("o_orderdate", "MM")).alias("m"))
+    return o.select("o_orderkey", dt.roc_slash("s").alias("slash"), dt.roc_cjk("c").alias("cjk"), dt.roc_compact("k").alias("compact"),
+                    dt.roc_month_end("m").alias("month_end"))
+
+
+@query("report_grid", f"""WITH p AS (SELECT s_suppkey, CAST(min(l_shipdate) AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT lpad(CAST(s_suppkey + 1000 AS VARCHAR), 4, '0') AS symbol, d AS data_date, CAST(q AS BIGINT) AS volume, {R("q * 1.5::DOUBLE", 2)} AS close FROM p WHERE s_suppkey + 1000 <= 9999""")
+def report_grid(spark, sf):
+    """Price reports rebuilt as JSON payloads and parsed back by header name."""
+    li = V.table(spark, sf, "lineitem")
+    per = li.groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("d"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    row = F.array(F.concat(F.lpad((F.col("l_suppkey") + 1000).cast("string"), 4, "0"), F.lit(" ")), F.lit("n"),
+                  F.format_number("q", 0), F.format_number(F.col("q") * 1.5, 2), F.lit("--"))
+    payload = F.to_json(F.struct(
+        F.array(*[F.lit(x) for x in ("證券代號", "證券名稱", "成交股數", " 收盤價", "開盤價")]).alias("fields"), F.array(row).alias("data")))
+    landing = per.where("l_suppkey + 1000 <= 9999").select(F.lit("prices").alias("source"), F.col("d").alias("data_date"), payload.alias("payload"))
+    p = rep.prices(landing, "TWSE")
+    return p.select("symbol", "data_date", "volume", rounded(F.col("close"), 2).alias("close"))
+
+
+@query("html_rows", """WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), 1) - 1 AS pos FROM pages)
+SELECT page_id, CAST(pos AS INT) AS pos, trim(regexp_replace(regexp_extract_all(x, '(?s)<a[^>]*>(.*?)</a>', 1)[1], '<[^>]+>', '', 'g')) AS cell FROM r""")
+def html_rows(spark, sf):
+    """List items of every page as rows: the same extraction the table pages use."""
+    h = rep.html_rows(V.table(spark, sf, "pages"), "html", ["page_id"], r"(?s)<li[^>]*>(.*?)</li>", r"(?s)<a[^>]*>(.*?)</a>")
+    return h.select("page_id", "pos", F.get("cells", F.lit(0)).alias("cell"))
+
+
+@query("html_paragraphs")
+def html_paragraphs(spark, sf):
+    """Paragraph cells per page (entity and whitespace handling differs between regex engines)."""
+    h = rep.html_rows(V.table(spark, sf, "pages"), "html", ["page_id"], r"(?s)<article>(.*?)</article>", r"(?s)<p>(.*?)</p>")
+    return h.select("page_id", F.size("cells").alias("paragraphs"))
+
+
+@query("website_normalised", """SELECT page_id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^(https?)://([^/?#:]+)', 2)), '^([a-z0-9-]+\\.)+[a-z]{2,}$')
+ THEN lower(regexp_extract(url, '^(https?)://', 1)) || '://' || lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) || regexp_extract(url, '^https?://[^/?#:]+(:[0-9]+)?([^?#]*)', 2) END AS website FROM pages""")
+def website_normalised(spark, sf):
+    return V.table(spark, sf, "pages").select("page_id", website("url").alias("website"))
+
+
+@query("method_categories", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'gift' WHEN 1 THEN 'market' WHEN 2 THEN 'market' WHEN 3 THEN 'unknown' WHEN 4 THEN 'private' ELSE 'unknown' END AS category FROM orders""")
+def method_categories(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("贈與", "一般交易", "鉅額逐筆交易 (每日得轉讓股數限制)", "一般交易及贈與", "洽特定人", "")])
+    return V.table(spark, sf, "orders").select("o_orderkey", method_category(F.get(names, (F.col("o_orderkey") % 6).cast("int"))).alias("category"))
+
+
+@query("filing_share_counts", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) END AS shares FROM orders""")
+def filing_share_counts(spark, sf):
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, "-").when(k == 1, F.format_number("o_totalprice", 2)).otherwise(F.format_number(F.floor("o_totalprice"), 0))
+    return V.table(spark, sf, "orders").select("o_orderkey", filing_shares(text).alias("shares"))
+
+
+@query("distribution_records", """WITH g AS (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, 1 + l_partkey % 17 AS level, CAST(sum(l_quantity) AS BIGINT) AS h FROM lineitem WHERE l_suppkey <= 8999 GROUP BY 1, 2, 3)
+SELECT lpad(CAST(l_suppkey + 1000 AS VARCHAR), 4, '0') AS symbol, d AS data_date, CAST(sum(h) FILTER (level <= 8) AS DOUBLE) AS retail_ratio, CAST(max(h) FILTER (level = 17) AS BIGINT) AS holder_count FROM g GROUP BY 1, 2""")
+def distribution_records(spark, sf):
+    """Holder distribution rebuilt as flat JSON lists (names with a byte-order mark) and parsed back."""
+    g = V.table(spark, sf, "lineitem").where("l_suppkey <= 8999").groupBy(
+        "l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("d"), (1 + F.col("l_partkey") % 17).alias("level")).agg(
+        F.sum("l_quantity").cast("bigint").alias("h"))
+    rec = F.to_json(F.array(F.create_map(
+        F.lit("﻿資料日期"), F.date_format("d", "yyyyMMdd"), F.lit("證券代號"), F.concat(F.lpad((F.col("l_suppkey") + 1000).cast("string"), 4, "0"), F.lit("  ")),
+        F.lit("持股分級"), F.col("level").cast("string"), F.lit("人數"), F.format_number("h", 0), F.lit("股數"), F.lit("0"),
+        F.lit("占集保庫存數比例%"), F.col("h").cast("string"))))
+    _, summary = rep.distribution(rep.distribution_records(g.select(rec.alias("payload"))), DEFAULTS["holders"])
+    return summary.select("symbol", "data_date", F.when(F.col("retail_ratio") > 0, F.col("retail_ratio")).alias("retail_ratio"), "holder_count")
+
+
+@query("vendor_ticks", """SELECT user_id AS symbol, event_id AS seq, 100 + value AS price, CASE event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side FROM events""")
+def vendor_ticks(spark, sf):
+    """Parallel vendor arrays of each delivery batch back to trades (a batch is one minute of one user)."""
+    e = V.table(spark, sf, "events").select(
+        F.col("user_id").alias("symbol"), F.to_date("ts").alias("data_date"), F.date_trunc("minute", "ts").alias("m"),
+        F.struct("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"), (F.col("value") + 100).alias("p"), (F.col("event_id") % 3).alias("k")).alias("s"))
+    g = e.groupBy("symbol", "data_date", "m").agg(F.array_sort(F.collect_list("s")).alias("a"))
+    a = F.col("a")
+    arrays = g.select("symbol", "data_date", a["event_id"].alias("ids"), a["ns"].alias("ts"), a["p"].alias("close"), a["event_id"].alias("volume"),
+                      a["p"].alias("bid_price"), a["p"].alias("ask_price"), a["k"].alias("tick_type"))
+    t = rep.vendor_ticks(arrays)
+    return t.select("symbol", F.col("volume").alias("seq"), "price", "side")

@@ -8,6 +8,7 @@ from tapeworks.plans import features as feat
 from tapeworks.plans import regime, reports
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
+from tapeworks.session import materialise
 
 WV = V.with_views
 _BY = "(PARTITION BY symbol ORDER BY data_date)"
@@ -55,13 +56,13 @@ pf AS (SELECT symbol, data_date, close, turnover, volume,
 
 
 @query("price_features", WV("bars", "actions") + f""", {_PIT}
-SELECT symbol, data_date, {R("chg", 6)} AS change_pct, {R("atr14", 3)} AS atr14, {R("ma20", 3)} AS ma20, {R("swing", 3)} AS recent_swing_low,
- {R("res", 3)} AS resistance_high, {R("(close - ma20) / ma20", 6)} AS close_vs_ma20_pct, {R("av", 3)} AS avg_volume, {R("ret5", 6)} AS ret5,
+SELECT symbol, data_date, {R("chg", 6)} AS change_pct, {R("atr14", 4)} AS atr14, {R("ma20", 4)} AS ma20, {R("swing", 4)} AS recent_swing_low,
+ {R("res", 4)} AS resistance_high, {R("(close - ma20) / ma20", 6)} AS close_vs_ma20_pct, {R("av", 3)} AS avg_volume, {R("ret5", 6)} AS ret5,
  CASE WHEN chg IS NOT NULL THEN chg >= 0.095 AND flat END AS is_limit_locked FROM pf""")
 def price_features(spark, sf):
     p = feat.price_features(V.bars(spark, sf), V.actions(spark, sf), CFG)
     return p.select("symbol", "data_date", _r("change_pct", F.col("change_pct"), 6), *[
-        _r(c, F.col(c), 3) for c in ("atr14", "ma20", "recent_swing_low", "resistance_high")],
+        F.col(c) for c in ("atr14", "ma20", "recent_swing_low", "resistance_high")],
         _r("close_vs_ma20_pct", F.col("close_vs_ma20_pct"), 6), _r("avg_volume", F.col("avg_volume"), 3), _r("ret5", F.col("ret5"), 6), "is_limit_locked")
 
 
@@ -171,8 +172,9 @@ def market_regime(spark, sf):
 
 
 def feature_tables(spark, sf, with_ticks: bool = False):
-    t = {"prices": V.bars(spark, sf), "actions": V.actions(spark, sf), "institutional": V.flows(spark, sf), "margin": V.flows(spark, sf),
-         "lending": V.flows(spark, sf), "holders": V.holders_weekly(spark, sf), "stock": V.stock(spark, sf)}
+    """The tables a real run finds stored: bars and flows are written once, not re-aggregated per branch."""
+    bars, flow = materialise(V.bars(spark, sf)), materialise(V.flows(spark, sf))
+    t = {"prices": bars, "actions": V.actions(spark, sf), "institutional": flow, "margin": flow, "lending": flow, "holders": V.holders_weekly(spark, sf), "stock": V.stock(spark, sf)}
     if with_ticks:
         t["ticks"] = V.ticks(spark, sf)
     return t
@@ -220,10 +222,10 @@ _ZCOLS = ["foreign_5d_z", "trust_5d_z", "dealer_5d_z", "margin_balance_change_z"
 
 
 @query("feature_build", WV("stock", "bars", "flows", "actions", "cal", "hweek") + f""", {FEATURE_SQL}
-SELECT symbol, data_date, {R("ma20", 3)} AS ma20, {", ".join(f"{R(c, 4)} AS {c}" for c in _ZCOLS)} FROM feat""")
+SELECT symbol, data_date, {R("ma20", 4)} AS ma20, {", ".join(f"{R(c, 4)} AS {c}" for c in _ZCOLS)} FROM feat""")
 def feature_build(spark, sf):
     f = feat.build_features(feature_tables(spark, sf), CFG)
-    return f.select("symbol", "data_date", _r("ma20", F.col("ma20"), 3), *[_r(c, F.col(c), 4) for c in _ZCOLS])
+    return f.select("symbol", "data_date", "ma20", *[_r(c, F.col(c), 4) for c in _ZCOLS])
 
 
 @query("feature_build_with_ticks")

@@ -1 +1,94 @@
-"""To come."""
+"""Streaming jobs run to the end of their input, next to their batch twins."""
+import uuid
+
+from pyspark.sql import functions as F
+
+from tapeworks.functions.numbers import rounded
+from tapeworks.plans import views as V
+from tapeworks.plans.catalog.registry import R, query
+from tapeworks.session import shared_folder
+from tapeworks.streaming import bars as st
+
+WV = V.with_views
+
+
+def _source(spark, sf):
+    schema = V.table(spark, sf, "events").schema
+    return V.tick_columns(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
+
+
+def _drain(spark, df):
+    """Run until the input is used up and read the sink back."""
+    base = f"{shared_folder(spark)}/tapeworks-stream-{uuid.uuid4().hex}"
+    q = st.write_append(df, f"{base}/out", f"{base}/ckpt").start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+# closed bars only: the watermark trails the newest trade by two minutes
+_CLOSED = "(SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE"
+_BARS = """sb AS (SELECT symbol, date_trunc('minute', ts) AS start, arg_min(price, (ts, seq)) AS open, arg_max(price, (ts, seq)) AS close, CAST(sum(volume) AS BIGINT) AS volume,
+ count(*) AS trades, CAST(sum(side * volume) AS BIGINT) AS delta FROM ticks GROUP BY 1, 2)"""
+
+
+@query("stream_minute_bars", WV("ticks") + f""", {_BARS}
+SELECT symbol, start, {R("open", 2)} AS open, {R("close", 2)} AS close, volume, trades, delta FROM sb WHERE start + INTERVAL 1 MINUTE <= {_CLOSED}""")
+def stream_minute_bars(spark, sf):
+    b = _drain(spark, st.bars(_source(spark, sf)))
+    return b.select("symbol", "start", rounded(F.col("open"), 2).alias("open"), rounded(F.col("close"), 2).alias("close"), "volume", "trades", "delta")
+
+
+@query("stream_sliding_bars", WV("ticks") + f"""
+, o AS (SELECT symbol, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE * k AS start, volume FROM ticks, (VALUES (0), (-1)) v(k))
+SELECT symbol, start, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS trades FROM o WHERE start + INTERVAL 10 MINUTE <= {_CLOSED} GROUP BY 1, 2""")
+def stream_sliding_bars(spark, sf):
+    b = _drain(spark, st.bars(_source(spark, sf), "10 minutes", "5 minutes"))
+    return b.select("symbol", "start", "volume", "trades")
+
+
+@query("stream_dedupe", WV("ticks") + "SELECT symbol, seq, volume FROM ticks")
+def stream_dedupe(spark, sf):
+    """Every trade delivered twice arrives once."""
+    s = _source(spark, sf)
+    twice = s.withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_c")
+    return _drain(spark, st.once(twice).select("symbol", "seq", "volume"))
+
+
+@query("stream_sessions_gaps", WV("ticks") + """
+, l AS (SELECT symbol, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM ticks),
+g AS (SELECT symbol, ts, sum(n) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM l), w AS (SELECT symbol, s, min(ts) AS a, max(ts) AS b FROM g GROUP BY 1, 2),
+c AS (SELECT * FROM w WHERE b + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE), n AS (SELECT symbol, b AS gap_start, lead(a) OVER (PARTITION BY symbol ORDER BY a) AS gap_end FROM c)
+SELECT symbol, gap_start, gap_end FROM n WHERE gap_end IS NOT NULL""")
+def stream_sessions_gaps(spark, sf):
+    closed = _drain(spark, st.sessions(_source(spark, sf)))
+    return st.gap_ledger(closed).select("symbol", "gap_start", "gap_end")
+
+
+@query("stream_running_cvd", WV("ticks") + f""", {_BARS}
+SELECT CAST(symbol AS VARCHAR) AS symbol, start, delta, CAST(sum(delta) OVER (PARTITION BY symbol, CAST(start AS DATE) ORDER BY start) AS BIGINT) AS cvd FROM sb WHERE start + INTERVAL 1 MINUTE <= {_CLOSED}""")
+def stream_running_cvd(spark, sf):
+    closed = _drain(spark, st.bars(_source(spark, sf)))
+    base = f"{shared_folder(spark)}/tapeworks-stream-{uuid.uuid4().hex}"
+    closed.write.parquet(f"{base}/bars")
+    again = spark.readStream.schema(closed.schema).parquet(f"{base}/bars")
+    return _drain(spark, st.running_state(again)).select("symbol", "start", "delta", "cvd")
+
+
+@query("stream_action_changes", """WITH s AS (SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS data_date, arg_max(o_orderstatus, o_orderkey) AS action FROM orders GROUP BY 1, 2),
+p AS (SELECT *, lag(action) OVER w AS pa, lag(data_date) OVER w AS pd FROM s WINDOW w AS (PARTITION BY symbol ORDER BY data_date)),
+q AS (SELECT *, CASE WHEN data_date - pd <= 120 THEN pa END AS prev_action FROM p)
+SELECT CAST(symbol AS VARCHAR) AS symbol, data_date, action, prev_action FROM q WHERE action IN ('F', 'P') AND action IS DISTINCT FROM prev_action""")
+def stream_action_changes(spark, sf):
+    base = f"{shared_folder(spark)}/tapeworks-stream-{uuid.uuid4().hex}"
+    s = V.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("data_date")).agg(
+        F.max_by("o_orderstatus", "o_orderkey").alias("action")).withColumn("chip_score", F.lit(0.0))
+    s.write.parquet(f"{base}/snapshots")
+    stream = spark.readStream.schema(s.schema).parquet(f"{base}/snapshots")
+    return _drain(spark, st.action_changes(stream, 120, ["F", "P"])).select("symbol", "data_date", "action", "prev_action")
+
+
+@query("stream_latency")
+def stream_latency(spark, sf):
+    """Arrival delays of the shadow table (depends on the wall clock)."""
+    rows = st.with_latency(st.tick_rows(_source(spark, sf))).select("symbol", "seq", (F.col("latency_ms") >= 0).alias("arrived"))
+    return _drain(spark, rows)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,25 @@ def local_session(cpus: int | str = "*", app: str = "tapeworks", shuffle: int =
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    folder = tempfile.mkdtemp(prefix="tapeworks-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    Only where no folder is configured (local tests) a temporary one is set.
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a columnar table in the shared folder and go on from there.
+
+    For results that several branches of a plan read: they are computed once, survive lost executors,
+    and every reader takes only the columns it needs.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tapeworks-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tapeworks-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -150,8 +150,8 @@ def write_upsert(df: DataFrame, path: str, checkpoint: str, keys: list[str], par
                     batch.select(partition).distinct(), partition, "left_semi").select(*batch.columns)
             except Exception:  # first batch: nothing stored yet
                 old = batch.limit(0)
-            from tapeworks.session import cut_lineage
-            merged = cut_lineage(upsert(old, batch.dropDuplicates(keys), keys))
+            from tapeworks.session import materialise
+            merged = materialise(upsert(old, batch.dropDuplicates(keys), keys))
             merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
                 partition).parquet(path)
         finally:
