@@ -99,13 +99,12 @@ def distribution_records(spark, sf):
 
 @query("vendor_ticks", """SELECT user_id AS symbol, event_id AS seq, 100 + value AS price, CASE event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side FROM events""")
 def vendor_ticks(spark, sf):
-    """Parallel vendor arrays of each delivery batch back to trades (a batch is one minute of one user)."""
-    e = V.table(spark, sf, "events").select(
-        F.col("user_id").alias("symbol"), F.to_date("ts").alias("data_date"), F.date_trunc("minute", "ts").alias("m"),
-        F.struct("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"), (F.col("value") + 100).alias("p"), (F.col("event_id") % 3).alias("k")).alias("s"))
-    g = e.groupBy("symbol", "data_date", "m").agg(F.array_sort(F.collect_list("s")).alias("a"))
-    a = F.col("a")
-    arrays = g.select("symbol", "data_date", a["event_id"].alias("ids"), a["ns"].alias("ts"), a["p"].alias("close"), a["event_id"].alias("volume"),
-                      a["p"].alias("bid_price"), a["p"].alias("ask_price"), a["k"].alias("tick_type"))
+    """Parallel vendor arrays back to trades; here every delivery holds one trade."""
+    one = F.array
+    arrays = V.table(spark, sf, "events").select(
+        F.col("user_id").alias("symbol"), F.to_date("ts").alias("data_date"),
+        one(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts"), one(F.col("value") + 100).alias("close"),
+        one("event_id").alias("volume"), one("value").alias("bid_price"), one("value").alias("ask_price"),
+        one(F.col("event_id") % 3).alias("tick_type"))
     t = rep.vendor_ticks(arrays)
     return t.select("symbol", F.col("volume").alias("seq"), "price", "side")

@@ -72,7 +72,8 @@ def compare(spark, sf: str, name: str, fn, sql: str | None, con) -> tuple[bool,
     order = sorted(cols)
     a = sorted((tuple(norm(r[cols.index(c)]) for c in order) for r in rows), key=repr)
     b = sorted((tuple(norm(r[dcols.index(c)]) for c in order) for r in drows), key=repr)
-    note = f"{len(a)} rows {took:.1f}s" + (f" TYPES {bad_types}" if bad_types else "")
+    void = [c for i, c in enumerate(order) if a and all(r[i] is None for r in a)]
+    note = f"{len(a)} rows {took:.1f}s" + (f" ALL-NULL {void}" if void else "") + (f" TYPES {bad_types}" if bad_types else "")
     if len(a) != len(b):
         return False, f"rows {len(a)} != {len(b)} {note}"
     diff = [(x, y) for x, y in zip(a, b) if x != y]
