@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.session import materialise
+
 MANTISSA_STEPS = 1024
 _OCTAVE_SHIFT = 1100
 
@@ -104,21 +106,44 @@ def share_at_or_below(df: DataFrame, keys: Sequence[str], value: str, out: str)
         out, (F.col("_below") + F.col("_ties")) / F.col("_n")).drop("_ties", "_below", "_n")
 
 
-def _value_at(position: Column) -> Column:
-    hit = (F.col("_below") <= position) & (position < F.col("_below") + F.col("_ties"))
-    return F.max(F.when(hit, F.col("_v")))
-
-
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
               weight: str | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group: one row per group with ``_n`` and one column
-    per entry of ``qs``."""
-    pos = distinct_positions(df, keys, value, weight)
-    aggs = [F.max("_n").alias("_n")]
+    per entry of ``qs``.
+
+    Bucket counts come first (combined map-side). They tell which few buckets hold the wanted
+    positions; only rows of those buckets are ordered. The list of wanted buckets is written out,
+    so the planner knows its size: it is broadcast below the planner's threshold and joined by
+    shuffle above it.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_v"),
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w")).withColumn(
+        "_b", value_bucket(F.col("_v")))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    so_far = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bn")).select(
+        *keys, "_b", "_bn", (F.sum("_bn").over(so_far) - F.col("_bn")).alias("_base"),
+        F.sum("_bn").over(whole).alias("_n"))
+    spots = {}
     for name, q in qs.items():
         at = F.lit(float(q)) * (F.col("_n") - 1)
-        aggs += [_value_at(F.floor(at)).alias(f"_lo_{name}"), _value_at(F.ceil(at)).alias(f"_hi_{name}")]
-    agg = pos.groupBy(*keys).agg(*aggs)
+        spots[f"_lo_{name}"], spots[f"_hi_{name}"] = F.floor(at), F.ceil(at)
+    inside = F.lit(False)
+    for at in spots.values():
+        inside = inside | ((F.col("_base") <= at) & (at < F.col("_base") + F.col("_bn")))
+    wanted = materialise(hist.where(inside).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_base", "_n"))
+    cond = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    near = rows.join(wanted, cond).groupBy(*keys, "_b", "_v", "_base", "_n").agg(F.sum("_w").alias("_ties"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_end", F.col("_base") + F.sum("_ties").over(inner))
+    hits = {name: F.max(F.when((F.col("_end") - F.col("_ties") <= at) & (at < F.col("_end")), F.col("_v"))).alias(name)
+            for name, at in spots.items()}
+    agg = near.groupBy(*keys).agg(F.max("_n").alias("_n"), *hits.values())
     cols = []
     for name, q in qs.items():
         at = F.lit(float(q)) * (F.col("_n") - 1)

@@ -7,6 +7,7 @@ from tapeworks.operators import backtest, calendar, cross_section, order_stats,
 from tapeworks.plans import models
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
+from tapeworks.session import materialise
 
 WV = V.with_views
 _BY = "(PARTITION BY symbol ORDER BY data_date)"
@@ -66,6 +67,11 @@ def nets(spark, sf, horizons=(1, 5, 20)):
     ).select("symbol", "data_date", "x.*").where("net IS NOT NULL")
 
 
+def joined(spark, sf, horizons=(1, 5, 20)):
+    """Factors with realised returns; ranked several times over, so written once."""
+    return materialise(factors(spark, sf).join(nets(spark, sf, horizons), ["symbol", "data_date"]))
+
+
 @query("winsor_z", WV("bars") + f"""
 , q AS (SELECT data_date, quantile_cont(turnover, 0.01) AS lo, quantile_cont(turnover, 0.99) AS hi, count(*) AS n FROM bars GROUP BY 1),
 c AS (SELECT symbol, data_date, n, greatest(lo, least(hi, turnover)) AS v FROM bars JOIN q USING (data_date)),
@@ -94,7 +100,7 @@ def momentum_pct(spark, sf):
 j AS (SELECT * FROM fac JOIN nets USING (symbol, data_date) WHERE horizon = 5), {_ic("j", "flow", "net", "data_date", 20)}
 SELECT data_date, n, {R("ic", 6)} AS ic FROM ic""")
 def daily_rank_ic(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"])
+    j = joined(spark, sf, (5,))
     return research.rank_ic(j, ["data_date"], "flow", "net", 20).select("data_date", "n", _r("ic", F.col("ic"), 6))
 
 
@@ -102,7 +108,7 @@ def daily_rank_ic(spark, sf):
 j AS (SELECT * FROM fac JOIN nets USING (symbol, data_date)), {_ic("j", "flow", "net", "horizon, data_date", 20)}, {_nw("ic", "horizon", "(horizon - 1)", 19)}
 SELECT horizon, n_days, {R("mean", 6)} AS mean, {R("t_naive", 4)} AS t_naive, {R("t_nw", 4)} AS t_nw, {R("positive_share", 6)} AS positive_share FROM nw""")
 def newey_west(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf), ["symbol", "data_date"])
+    j = joined(spark, sf)
     ics = research.rank_ic(j, ["horizon", "data_date"], "flow", "net", 20)
     nw = research.newey_west(ics, ["horizon"], "ic", F.col("horizon") - 1, 19)
     return nw.select("horizon", "n_days", _r("mean", F.col("mean"), 6), _r("t_naive", F.col("t_naive"), 4),
@@ -113,7 +119,7 @@ def newey_west(spark, sf):
 j AS (SELECT *, 1 AS one FROM fac JOIN nets USING (symbol, data_date) WHERE horizon = 5), {_ic("j", "flow", "net", "one", 30)}
 SELECT n, {R("ic", 6)} AS rho FROM ic""")
 def pooled_spearman(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"])
+    j = joined(spark, sf, (5,))
     return research.pooled_spearman(j, "flow", "net").select("n", _r("rho", F.col("rho"), 6))
 
 
@@ -123,7 +129,7 @@ e AS (SELECT list_sort(list_distinct(quantile_cont(flow, [0.0, 0.1, 0.2, 0.3, 0.
 b AS (SELECT net, greatest(1, len(list_filter(edges, lambda x: x < flow))) AS bucket FROM j, e)
 SELECT CAST(bucket AS INT) AS bucket, count(*) AS n, {R("avg(net)", 6)} AS avg_net FROM b GROUP BY 1""")
 def decile_table(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"])
+    j = joined(spark, sf, (5,))
     return research.quantile_buckets(j, "flow", 10).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), _r("avg_net", F.avg("net"), 6))
 
@@ -133,7 +139,7 @@ j AS (SELECT *, row_number() OVER (ORDER BY flow, data_date, symbol) - 1 AS i, c
 SELECT CAST(1 + (i >= m * 1 // 5)::INT + (i >= m * 2 // 5)::INT + (i >= m * 3 // 5)::INT + (i >= m * 4 // 5)::INT AS INT) AS bucket,
  count(*) AS n, {R("avg(net)", 6)} AS avg_net, {R("min(flow)", 6)} AS edge FROM j GROUP BY 1""")
 def quintile_spread(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"])
+    j = joined(spark, sf, (5,))
     return research.position_buckets(j, [], "flow", "data_date", ["symbol"]).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), _r("avg_net", F.avg("net"), 6), _r("edge", F.min("flow"), 6))
 
@@ -145,7 +151,7 @@ q AS (SELECT horizon, 1 + (i >= m * 1 // 5)::INT + (i >= m * 2 // 5)::INT + (i >
 s AS (SELECT *, a > lag(a) OVER (PARTITION BY horizon ORDER BY bucket) AS up FROM q)
 SELECT horizon, count(*) FILTER (up) AS rises, {R("arg_max(a, bucket) - arg_min(a, bucket)", 6)} AS spread FROM s GROUP BY 1""")
 def monotone_steps(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf), ["symbol", "data_date"])
+    j = joined(spark, sf)
     t = research.position_buckets(j, ["horizon"], "flow", "data_date", ["symbol"]).groupBy("horizon", "bucket").agg(F.avg("net").alias("a"))
     m = research.monotone_steps(t, ["horizon"], "bucket", "a")
     return m.select("horizon", "rises", _r("spread", F.col("spread"), 6))
@@ -169,8 +175,9 @@ j AS (SELECT * FROM lng JOIN nets USING (symbol, data_date)), {_ic("j", "value",
 {_nw("ic", "factor, horizon", "(horizon - 1)", 19)}
 SELECT factor, horizon, n_days, {R("mean", 6)} AS ic, {R("t_nw", 4)} AS t_nw FROM nw""")
 def factor_ic_grid(spark, sf):
-    long = cross_section.melt(factors(spark, sf), ["symbol", "data_date"], ["flow", "trust", "mom5"])
-    ics = research.factor_grid(long, nets(spark, sf), 20)
+    j = joined(spark, sf)
+    long = cross_section.melt(j, ["symbol", "data_date", "horizon", "net"], ["flow", "trust", "mom5"])
+    ics = research.rank_ic(long, ["factor", "horizon", "data_date"], "value", "net", 20)
     nw = research.newey_west(ics, ["factor", "horizon"], "ic", F.col("horizon") - 1, 19)
     return nw.select("factor", "horizon", "n_days", _r("ic", F.col("mean"), 6), _r("t_nw", F.col("t_nw"), 4))
 
@@ -187,11 +194,12 @@ rk2 AS (SELECT *, {_rank("value", "scheme, data_date")} AS rx, {_rank("net", "sc
 ic2 AS (SELECT scheme, data_date, corr(rx, ry) AS ic FROM rk2 GROUP BY 1, 2 HAVING count(*) >= 20)
 SELECT scheme, count(*) AS n_days, {R("avg(ic)", 5)} AS ic FROM ic2 GROUP BY 1""")
 def weight_schemes_oos(spark, sf):
-    long = cross_section.melt(factors(spark, sf), ["symbol", "data_date"], ["flow", "trust"])
-    net, split = nets(spark, sf, (5,)), research.split_by_days(V.bars(spark, sf), 20)
+    rows = joined(spark, sf, (5,))
+    long = cross_section.melt(rows, ["symbol", "data_date"], ["flow", "trust"])
+    net, split = rows.select("symbol", "data_date", "horizon", "net"), research.split_by_days(V.bars(spark, sf), 20)
     train = long.join(split.where("segment = 'train'"), "data_date")
     ics = research.factor_grid(train, net, 20).groupBy("factor").agg(F.avg("ic").alias("ic"))
-    weights = research.weights_frame(ics, {"flow": 0.25, "trust": 0.3})
+    weights = materialise(research.weights_frame(ics, {"flow": 0.25, "trust": 0.3}))
     combined = research.combine(long, weights).withColumn("value", F.round("value", 10)).join(
         split.where("segment = 'test'"), "data_date").join(net, ["symbol", "data_date"])
     ic = research.rank_ic(combined, ["scheme", "data_date"], "value", "net", 20)
@@ -206,8 +214,8 @@ p AS (SELECT factor, max(mean) FILTER (segment = 'train') AS tr, max(mean) FILTE
 SELECT factor, {R("tr", 6)} AS train_ic, {R("te", 6)} AS test_ic, CASE WHEN tr IS NULL OR te IS NULL OR days < 20 THEN 'insufficient'
  WHEN sign(tr) = sign(te) AND abs(t) > 2 THEN 'robust' ELSE 'failed' END AS verdict FROM p""")
 def factor_verdict(spark, sf):
-    long = cross_section.melt(factors(spark, sf), ["symbol", "data_date"], ["flow", "trust", "mom5"])
-    j = long.join(nets(spark, sf, (5,)), ["symbol", "data_date"]).join(
+    long = cross_section.melt(joined(spark, sf, (5,)), ["symbol", "data_date", "net"], ["flow", "trust", "mom5"])
+    j = long.join(
         research.split_by_days(V.bars(spark, sf), 20).where("segment <> 'embargo'"), "data_date")
     ics = research.rank_ic(j, ["factor", "segment", "data_date"], "value", "net", 20)
     nw = research.newey_west(ics, ["factor", "segment"], "ic", 4, 4)
@@ -231,7 +239,7 @@ def regime_ic(spark, sf):
     trend = F.col("index_close") / F.lag("index_close", 4).over(w) - 1
     rg = V.index(spark, sf).withColumn("t", trend).where("t IS NOT NULL").select(
         "data_date", F.when(F.col("t") > 0, "bull").otherwise("other").alias("regime"))
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"]).join(rg, "data_date")
+    j = joined(spark, sf, (5,)).join(rg, "data_date")
     ic = research.rank_ic(j, ["regime", "data_date"], "flow", "net", 20)
     return ic.groupBy("regime").agg(F.count(F.lit(1)).alias("n_days"), _r("ic", F.avg("ic"), 6))
 
@@ -251,7 +259,7 @@ d AS (SELECT data_date, count(*) FILTER (flow >= 0.3) AS n_high, count(*) FILTER
  avg(net) FILTER (flow >= 0.3) - avg(net) FILTER (flow < -0.3) AS spread FROM j GROUP BY 1)
 SELECT data_date, n_high, n_low, {R("spread", 6)} AS spread FROM d WHERE n_high >= 5 AND n_low >= 5""")
 def group_spread(spark, sf):
-    j = factors(spark, sf).join(nets(spark, sf, (5,)), ["symbol", "data_date"])
+    j = joined(spark, sf, (5,))
     g = research.group_spread(j, ["data_date"], F.col("flow") >= 0.3, F.col("flow") < -0.3, "net", 5)
     return g.select("data_date", "n_high", "n_low", _r("spread", F.col("spread"), 6))
 
@@ -274,7 +282,7 @@ def industry_trend(spark, sf):
 def _model_rows(spark, sf):
     net = nets(spark, sf, (5,)).select("symbol", "data_date", "net")
     split = research.split_by_days(V.bars(spark, sf), 20)
-    return factors(spark, sf).join(net, ["symbol", "data_date"], "left").join(split, "data_date")
+    return materialise(factors(spark, sf).join(net, ["symbol", "data_date"], "left").join(split, "data_date"))
 
 
 @query("ridge_factor_model")

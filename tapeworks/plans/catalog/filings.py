@@ -6,6 +6,7 @@ from tapeworks.operators import cross_section, filings
 from tapeworks.operators.calendar import market_calendar, usable_window
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
+from tapeworks.session import materialise
 
 WV = V.with_views
 AS_OF, TARGET = "1999-03-31 15:00:00", "1999-03-31"
@@ -114,7 +115,7 @@ v AS (SELECT symbol, ratio AS x FROM hf WHERE ratio IS NOT NULL), q AS (SELECT q
 c AS (SELECT symbol, greatest(lo, least(hi, x)) AS x FROM v, q)
 SELECT symbol, {R("CASE WHEN (SELECT stddev_pop(x) FROM c) = 0 THEN 0 ELSE greatest(-5, least(5, (x - (SELECT avg(x) FROM c)) / (SELECT stddev_pop(x) FROM c))) END", 5)} AS pledge_ratio_z FROM c""")
 def shadow_features_z(spark, sf):
-    raw = _shadow(spark, sf)
+    raw = materialise(_shadow(spark, sf))
     long = cross_section.melt(raw, ["symbol", "data_date"], list(filings.RAW_COLUMNS))
     z = cross_section.winsor_z(long, ["data_date", "factor"], "value", "z")
     return z.where("factor = 'insider_pledge_ratio'").select("symbol", _r("pledge_ratio_z", F.col("z"), 5))

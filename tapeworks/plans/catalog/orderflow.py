@@ -6,6 +6,7 @@ from tapeworks.functions.numbers import rounded
 from tapeworks.operators import cross_section, ticks
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
+from tapeworks.session import materialise
 
 WV = V.with_views
 # the sample's symbol-days hold a few dozen trades, so the large-trade minimum is lowered
@@ -110,7 +111,7 @@ SELECT symbol, data_date, {R("greatest(-5, least(5, (v - m) / s))", 5)} AS cvd_z
 def intraday_cross_z(spark, sf):
     s = ticks.intraday_signals(ticks.order_flow(V.ticks(spark, sf), CFG))
     long = cross_section.melt(s, ["symbol", "data_date"], ["cvd", "large_trade_delta", "absorption", "trade_speed", "price_efficiency"])
-    z = cross_section.winsor_z(long, ["data_date", "factor"], "value", "z")
+    z = cross_section.winsor_z(materialise(long), ["data_date", "factor"], "value", "z")
     return z.where("factor = 'cvd'").select("symbol", "data_date", _r("cvd_z", F.col("z"), 5))
 
 
