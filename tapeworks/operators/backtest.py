@@ -74,12 +74,12 @@ def by_threshold(rows: DataFrame, thresholds: Sequence[float], score: str = "sco
         "label", F.concat(F.lit(">="), F.col("_t").cast("int").cast("string"))).drop("_t")
 
 
-def return_stats(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("data_date", "symbol"),
-                 chunk: Sequence[str] = ("data_date",)) -> DataFrame:
+def return_stats(rows: DataFrame, keys: Sequence[str], day: str = "data_date",
+                 tie: str = "symbol") -> DataFrame:
     """Count, win rate, mean, median, profit factor, expectancy, drawdown, Sharpe, Sortino, MFE, MAE.
 
     Moments combine before the shuffle; the median is read off value buckets and the drawdown is
-    scanned day by day, so a label that covers most signals is not one task's work.
+    scanned by day and symbol block, so a label that covers most signals is not one task's work.
     """
     keys = list(keys)
     r = F.col("net")
@@ -90,7 +90,8 @@ def return_stats(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("
         F.count(F.when(r < 0, r)).alias("_nd"), F.stddev_samp(F.when(r < 0, r)).alias("_dd"),
         F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae"))
     mid = order_stats.quantiles(rows, keys, "net", {"median_return": 0.5}).drop("_n")
-    fall = prefix.max_drawdown(rows, keys, chunk, order, "net")
+    blocks = rows.withColumn("_block", prefix.key_block(rows, tie))
+    fall = prefix.max_drawdown(blocks, keys, [day, "_block"], [day, tie], "net")
     pf = F.when(F.col("_loss") == 0, F.when(F.col("_win") > 0, F.lit(float("inf"))).otherwise(0.0)
                 ).otherwise(ratio(F.col("_win"), F.col("_loss")))
     sharpe = F.when((F.col("count") >= 2) & (F.col("_sd") > 0), ratio(F.col("avg_return"), F.col("_sd")))

@@ -108,3 +108,20 @@ def vendor_ticks(spark, sf):
         one(F.col("event_id") % 3).alias("tick_type"))
     t = rep.vendor_ticks(arrays)
     return t.select("symbol", F.col("volume").alias("seq"), "price", "side")
+
+
+@query("payload_features", """SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS absent FROM events""")
+def payload_features(spark, sf):
+    from tapeworks.plans.models import feature_frame
+    return feature_frame(V.table(spark, sf, "events").select("event_id", "props"), "props", ["k", "absent"])
+
+
+@query("weekdays", """WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),
+d AS (SELECT CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS data_date FROM b)
+SELECT data_date FROM d WHERE dayofweek(data_date) NOT IN (0, 6) AND data_date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 400000)""")
+def weekdays(spark, sf):
+    """Weekdays inside the span of the orders that lack a large order: the list a backfill walks."""
+    o = V.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("data_date"), "o_totalprice")
+    span = o.agg(F.min("data_date").alias("lo"), F.max("data_date").alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("data_date")).where(~F.dayofweek("data_date").isin(1, 7))
+    return days.join(o.where("o_totalprice > 400000").select("data_date").distinct(), "data_date", "left_anti")

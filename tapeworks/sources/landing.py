@@ -25,7 +25,7 @@ def _shaped(df: DataFrame) -> DataFrame:
 def read_landing(spark: SparkSession, root: str, source: str | None = None) -> DataFrame:
     """(source, data_date, payload, landed_at), one row per file."""
     path = f"{root}/{source or '*'}/*/*"
-    return _shaped(spark.read.option("wholetext", True).text(path))
+    return _shaped(spark.read.text(path, wholetext=True))
 
 
 def stream_landing(spark: SparkSession, root: str, source: str = "*", files_per_trigger: int = 1000) -> DataFrame:
