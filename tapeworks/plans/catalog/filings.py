@@ -82,10 +82,10 @@ def amendment_self_join(spark, sf):
     return filings.resolve_transfers(recent, _at(), start).select("symbol", "ambiguous", "inconsistent", "listed", "shares")
 
 
-@query("amendment_resolution_full", WV("declarations") + f""", {_resolve("declarations", "DATE '1900-01-01'")}
+@query("amendment_resolution_full", WV("declarations") + f""", {_resolve("declarations", "DATE '1999-03-01'")}
 SELECT symbol, ambiguous, inconsistent, listed, CAST(shares AS BIGINT) AS shares FROM tr""")
 def amendment_resolution_full(spark, sf):
-    return filings.resolve_transfers(V.declarations(spark, sf), _at()).select("symbol", "ambiguous", "inconsistent", "listed", "shares")
+    return filings.resolve_transfers(V.declarations(spark, sf), _at(), F.lit("1999-03-01").cast("date")).select("symbol", "ambiguous", "inconsistent", "listed", "shares")
 
 
 _WIN = f"""win AS (SELECT data_date FROM cal WHERE CAST(data_date + 1 AS TIMESTAMP) + INTERVAL 8 HOUR <= TIMESTAMP '{AS_OF}' AND data_date <= DATE '{TARGET}' ORDER BY data_date DESC LIMIT 8)"""
