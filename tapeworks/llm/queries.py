@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import exact, mixing, near, packing, quality
+from tapeworks.llm import classlm, exact, imatch, mixing, near, packing, quality, secrets, templates, toxicity
 from tapeworks.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_imatch_lexicons")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity_cnn")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op3_quality_gam")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -37,11 +47,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("raw")
 
 
+@query("op5_secret_battery")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op6_vector_best_fit")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
 
+@query("op7_class_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.corpus_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op8_fair_queue_mix", r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
@@ -71,3 +91,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_coordinate_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("raw")
+
+
+@query("op10_line_templates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.line_report(table(spark, sf_dir, "documents"))
