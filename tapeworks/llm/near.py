@@ -13,9 +13,11 @@ from tapeworks.llm.words import mixed, shingles, text_chunks, word_hashes
 from tapeworks.session import materialise
 
 COORDINATES = 64
-BUCKETS = 1 << 18  # counters of the frequency sketch
+BUCKETS = 1 << 20  # counters of the frequency sketch
 SKETCH = "n_shingles long, low long, high long, sig array<int>"
+STAR = 4  # of its rarest coordinates, so many give a document a pair in the first round
 CROWD = 200  # postings longer than this are refined before pairs are made
+SMALL = 1 << 20  # rows of 8 to 16 bytes that may be sent to every executor
 _SALT = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -81,7 +83,7 @@ def representatives(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
-    """(token, node, low, n_shingles): the rarest coordinates of each signature.
+    """(token, place, node, low, n_shingles): the rarest coordinates of each signature, the rarest at place 0.
 
     Two signatures with ``matches`` common values share one among any K - matches + 1 coordinates if both take them
     by one global order. The order is by frequency over all documents, counted in a sketch of fixed size, so the
@@ -92,9 +94,9 @@ def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
     place = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
     d = nodes.select("node", "low", "n_shingles", tokens.alias("tokens"))
     counts = (d.select(F.explode("tokens").alias("t")).groupBy(place(F.col("t")).alias("bucket")).count()
-              .where("count > 1").toArrow())  # at most BUCKETS rows
-    table = np.ones(BUCKETS, np.int64)
-    table[counts["bucket"].to_numpy()] = counts["count"].to_numpy()
+              .where("count > 1").select("bucket", F.col("count").cast("int").alias("n")).toArrow())  # at most BUCKETS rows
+    table = np.ones(BUCKETS, np.int32)
+    table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     keep = COORDINATES - matches + 1
 
     @arrow_udf("array<long>")
@@ -104,7 +106,12 @@ def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
         flat = np.take_along_axis(t, order, 1).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keep), pa.array(flat))
 
-    return d.select("node", "low", "n_shingles", F.explode(rarest("tokens")).alias("token"))
+    return d.select("node", "low", "n_shingles", F.posexplode(rarest("tokens")).alias("place", "token"))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A written table of few short rows goes to every executor; a longer one is left to the planner."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def _matches(a: Column, b: Column) -> Column:
@@ -164,43 +171,51 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, component) over the links between different shingle sets, without making all pairs of a group.
 
-    First every posting pairs its members with its smallest one. What these links join needs no more pairs; only
-    postings that still hold members of different components go on, and there only members outside the posting's
-    largest component are paired with members of other components. A crowded posting is first split by a second
-    common coordinate: signatures that share ``matches`` values share two among the rarest K - matches + 2.
+    First the postings of each document's rarest coordinates pair their members with their smallest one. What these
+    links join needs no more pairs. Then every posting that still holds members of different components pairs those
+    outside its largest component with the members of other components, if their signatures (carried along) have
+    enough in common. A crowded posting is first split by a second common coordinate: signatures that share
+    ``matches`` values share two among the rarest K - matches + 2.
     """
     matches = match_threshold(percent)
     near = 100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles")
     posts = materialise(rare_prefix(nodes, matches))
-    heads = (posts.groupBy("token").agg(F.min(F.struct("node", "low", "n_shingles")).alias("head"),
+    first = posts.where(F.col("place") < STAR)
+    heads = (first.groupBy("token").agg(F.min(F.struct("node", "low", "n_shingles")).alias("head"),
                                         F.count("*").alias("members")).where("members > 1"))
-    star = posts.join(heads, "token").select(F.struct("node", "low", "n_shingles").alias("l"), F.col("head").alias("r"))
-    star = star.where((F.col("l.low") != F.col("r.low")) & near).select(*_pair("l", "r"))
+    l, r = first.alias("l"), heads.select("token", "head.*").alias("r")
+    star = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.low") != F.col("r.low")) & near).select(*_pair("l", "r"))
     links = confirmed(star, nodes, docs, percent, matches)
     joined = components(_node_links(links))
-    held = _unsettled(posts, joined)
+    held = _unsettled(posts, joined, nodes)
     if held.isEmpty():
         return joined
-    crowded = held.where(F.col("members") > CROWD).select(F.col("token").alias("held"), "node", "low")
-    wide = rare_prefix(nodes, matches - 1)
-    split = (crowded.join(wide, ["node", "low"]).where("held <> token")
-             .select(F.xxhash64(F.least("held", "token"), F.greatest("held", "token")).alias("token"), "node", "low",
-                     "n_shingles").distinct())
-    held = held.where(F.col("members") <= CROWD).unionByName(_unsettled(split, joined))
-    left, right = held.where("component <> main").alias("l"), held.alias("r")
-    rest = (left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") != F.col("r.component")))
-            .where(near).select(*_pair("l", "r")))
+    crowded = held.where(F.col("members") > CROWD).select(F.col("token").alias("held"), "node", "low").distinct()
+    if not crowded.isEmpty():
+        wide = rare_prefix(nodes.join(crowded.select("node", "low").distinct(), ["node", "low"], "left_semi"), matches - 1)
+        split = (crowded.join(wide, ["node", "low"]).where("held <> token")
+                 .select(F.xxhash64(F.least("held", "token"), F.greatest("held", "token")).alias("token"), "node", "low",
+                         "n_shingles").distinct())
+        held = held.where(F.col("members") <= CROWD).unionByName(_unsettled(materialise(split), joined, nodes))
+    l, r = held.where("component <> main").alias("l"), held.alias("r")
+    other = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.low") < F.col("r.low")))
+    alike = _matches(F.col("l.sig"), F.col("r.sig")) >= matches
+    rest = l.join(r, (F.col("l.token") == F.col("r.token")) & other & near & alike).select(*_pair("l", "r"))
     return components(_node_links(links.union(confirmed(rest, nodes, docs, percent, matches))))
 
 
-def _unsettled(posts: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of postings that hold several components: token, node, low, n_shingles, component, main, members."""
-    held = posts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _unsettled(posts: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of postings that hold several components: token, node, low, n_shingles, sig, component, main, members."""
+    named = posts.select("token", "node", "low", "n_shingles").join(_few(joined), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    several = materialise(named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+                          .where("a <> b").select("token"))
+    held = materialise(named.join(_few(several), "token", "left_semi"))
     counts = held.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed_ = (counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"),
-                                          F.count("*").alias("parts"))
-              .where("parts > 1").select("token", F.col("top.component").alias("main"), "members"))
-    return materialise(held.join(mixed_, "token"))
+    largest = (counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
+               .select("token", F.col("top.component").alias("main"), "members"))
+    held = held.join(largest, "token").join(nodes.select("node", "low", "sig"), ["node", "low"])
+    return materialise(held)
 
 
 def _node_links(links: DataFrame) -> DataFrame:
