@@ -18,6 +18,7 @@ TEXT_MATCH, TEXT_TURN, TEXT_SERIAL = 0.066, 0.08, -0.15
 WEIGHTS = (1.0, 0.7, 0.4)  # of uniformity, runs and serial correlation in the combined score
 RATE = 0.001  # tolerated share of readable strings among the reported ones
 STRATA = (20, 32, 64, 128)
+LEAST_LETTERS = 16
 
 
 def spans(text: Column, pattern: str, found: Column) -> Column:
@@ -40,6 +41,11 @@ def _occurrences(s: Column, pattern: str) -> Column:
     return F.size(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))
 
 
+def letters(s: Column) -> Column:
+    """A string without the marks that also join words."""
+    return F.regexp_replace(s, "[-_/+=]", "")
+
+
 def alphabet(s: Column) -> Column:
     """Number of characters of the encoding that a string seems to be in."""
     sizes = ((r"^[0-9]+$", 10), (r"^[0-9a-f]+$", 16), (r"^[0-9A-F]+$", 16), (r"^[a-z]+$", 26), (r"^[A-Z]+$", 26),
@@ -95,8 +101,10 @@ def scan(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", *(F.transform(v, lambda x: x.dropFields("match")).alias(k) for k, v in known.items()),
                  spans(F.col("t"), RUN, F.col("mr")).alias("tried"))
     mixed = lambda x: x["match"].rlike("[0-9]") | (x["match"].rlike("[a-z]") & x["match"].rlike("[A-Z]"))
-    tested = F.transform(F.filter("tried", lambda x: mixed(x) & (alphabet(x["match"]) > 10)),
-                         lambda x: F.struct(x["start"], x["end"], evidence(x["match"]).alias("z")))
+    tried = F.transform(F.filter("tried", mixed), lambda x: F.struct(x["start"], x["end"], letters(x["match"]).alias("core")))
+    d = d.select("doc_id", "assign", "access", "hex", tried.alias("tried"))
+    worth = lambda x: (F.char_length(x["core"]) >= LEAST_LETTERS) & (alphabet(x["core"]) > 10)
+    tested = F.transform(F.filter("tried", worth), lambda x: F.struct(x["start"], x["end"], evidence(x["core"]).alias("z")))
     return materialise(d.select("doc_id", "assign", "access", "hex", tested.alias("tested")))
 
 
