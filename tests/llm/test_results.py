@@ -284,7 +284,6 @@ def test_rare_words_join_their_counts(make, monkeypatch):
     docs = make(rows)
     small = classlm.head_words
     monkeypatch.setattr(classlm, "head_words", lambda counts: small(counts, 5))
-    monkeypatch.setattr(classlm, "ITEMS", 3)
     got = {r.doc_id: (r.base_score, r.score, r.n_known) for r in classlm.corpus_scores(docs).collect()}
     for i, (base, _, known) in want.items():
         assert math.isclose(got[i][0], base, rel_tol=1e-9) and got[i][2] == known
