@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.numbers import pearson, ratio
@@ -71,33 +71,44 @@ def cost_basis(panel: DataFrame, price: str, net: str, keys: Sequence[str] = ("s
                date: str = "data_date") -> DataFrame:
     """Moving weighted-average cost of the accumulated net position after every row.
 
-    Buys re-average, sells keep the cost, an emptied position resets. Written without a fold:
+    Buys re-average, sells keep the cost, an emptied position resets.
 
     * position = S - min(0, running min of S) with S the running net - a walk reflected at 0;
-    * the rows between two empty positions are one episode;
-    * inside an episode a sale keeps the share r = position / previous position of the money
-      invested, so money = R * sum(bought / R) with R the running product of r, and
-      cost = money / position.
+    * every row maps the cost before it to a * cost + b: a buy keeps the share a = position before / position
+      after of it, an emptied position keeps nothing. Two rows in order compose to (a a', a' b + b'), all shares are
+      at most 1 and nothing is divided by a product of them;
+    * the rows of one year of a symbol are folded in order, and the years' own (a, b) give each year the cost it
+      starts with. A daily table has a few hundred rows per symbol and year, so no array grows with the history.
     """
-    keys = list(keys)
+    keys, own = list(keys), [F.col(c) for c in panel.columns]
     w = Window.partitionBy(*keys).orderBy(date)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     active = F.col(price).isNotNull() & (F.col(price) > 0) & F.col(net).isNotNull()
     p = panel.withColumn("_n", F.when(active, F.col(net).cast("double")).otherwise(0.0))
     p = p.withColumn("_s", F.sum("_n").over(so_far))
     p = p.withColumn("position", F.col("_s") - F.least(F.lit(0.0), F.min("_s").over(so_far)))
-    p = p.withColumn("_before", F.coalesce(F.lag("position").over(w), F.lit(0.0)))
-    # an episode starts with the first row after an empty position
-    p = p.withColumn("_episode", F.sum(F.when(F.col("_before") <= 0, 1).otherwise(0)).over(so_far))
-    e = (Window.partitionBy(*keys, "_episode").orderBy(date)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    kept = F.when((F.col("_n") < 0) & (F.col("position") > 0),
-                  F.try_divide(F.col("position"), F.col("_before"))).otherwise(1.0)
-    p = p.withColumn("_r", F.exp(F.sum(F.ln(kept)).over(e)))
-    bought = F.when(F.col("_n") > 0, F.col("_n") * F.col(price)).otherwise(0.0)
-    money = F.col("_r") * F.sum(F.try_divide(bought, F.col("_r"))).over(e)
-    p = p.withColumn("cost", F.when(F.col("position") > 0, F.try_divide(money, F.col("position"))))
-    return p.drop("_n", "_s", "_before", "_episode", "_r")
+    before, after = F.coalesce(F.lag("position").over(w), F.lit(0.0)), F.col("position")
+    p = p.withColumn("_before", before)
+    held = F.when(after <= 0, 0.0).when(F.col("_n") > 0, F.col("_before") / after).otherwise(1.0)
+    paid = F.when((after > 0) & (F.col("_n") > 0), F.col("_n") * F.col(price) / after).otherwise(0.0)
+    p = p.select(*keys, F.year(date).alias("_year"),
+                 F.struct(F.col(date).alias("at"), held.alias("a"), paid.alias("b"), F.struct(*own, "position").alias("row")).alias("_x"))
+    years = p.groupBy(*keys, "_year").agg(F.array_sort(F.collect_list("_x"), lambda x, y: F.when(x["at"] < y["at"], -1).when(
+        x["at"] > y["at"], 1).otherwise(0)).alias("_rows"))
+    pair = "struct<a:double,b:double>"
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.array().cast(f"array<{pair}>").alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a, b = acc["a"] * x["a"], x["a"] * acc["b"] + x["b"]
+        return F.struct(a.alias("a"), b.alias("b"), F.concat(acc["all"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("all"))
+
+    years = years.withColumn("_fold", F.aggregate("_rows", none, step))
+    earlier = Window.partitionBy(*keys).orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)
+    past = F.collect_list(F.struct(F.col("_fold.a").alias("a"), F.col("_fold.b").alias("b"))).over(earlier)
+    years = years.withColumn("_start", F.aggregate(past, F.lit(0.0), lambda c, x: x["a"] * c + x["b"]))
+    flat = years.select("_start", F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.col("_fold.all").alias("f"))).alias("z"))
+    cost = F.when(F.col("z.r.row.position") > 0, F.col("z.f.a") * F.col("_start") + F.col("z.f.b"))
+    return flat.select("z.r.row.*", cost.alias("cost"))
 
 
 def cost_state(cost, price, eps: float):

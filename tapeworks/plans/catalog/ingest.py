@@ -33,19 +33,36 @@ def roc_dates(spark, sf):
                     dt.roc_month_end("m").alias("month_end"))
 
 
-@query("report_grid", f"""WITH p AS (SELECT s_suppkey, CAST(min(l_shipdate) AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
-SELECT lpad(CAST(s_suppkey + 1000 AS VARCHAR), 4, '0') AS symbol, d AS data_date, CAST(q AS BIGINT) AS volume, {R("q * 1.5::DOUBLE", 2)} AS close FROM p WHERE s_suppkey + 1000 <= 9999""")
+#: Supplier keys as codes: four digits up to 9999 - 1000, longer ones after that (and so outside the universe).
+_CODE = "CAST(s + 1000 AS VARCHAR)"
+
+
+def _code(key: str):
+    return (F.col(key) + 1000).cast("string")
+
+
+@query("report_grid", f"""WITH p AS (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
+SELECT {_CODE} AS symbol, d AS data_date, CAST(q AS BIGINT) AS volume, {R("q * 1.5::DOUBLE", 2)} AS close, {R("q * 2.25::DOUBLE", 2)} AS turnover
+FROM p WHERE length({_CODE}) = 4""")
 def report_grid(spark, sf):
-    """Price reports rebuilt as JSON payloads and parsed back by header name."""
+    """Daily price reports rebuilt as JSON payloads with all rows of the day, and parsed back by header name.
+
+    The second exchange's reports carry the odd days; there a row without a close is dropped.
+    """
     li = V.table(spark, sf, "lineitem")
-    per = li.groupBy("l_suppkey").agg(F.to_date(F.min("l_shipdate")).alias("d"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
-    row = F.array(F.concat(F.lpad((F.col("l_suppkey") + 1000).cast("string"), 4, "0"), F.lit(" ")), F.lit("n"),
-                  F.format_number("q", 0), F.format_number(F.col("q") * 1.5, 2), F.lit("--"))
-    payload = F.to_json(F.struct(
-        F.array(*[F.lit(x) for x in ("證券代號", "證券名稱", "成交股數", " 收盤價", "開盤價")]).alias("fields"), F.array(row).alias("data")))
-    landing = per.where("l_suppkey + 1000 <= 9999").select(F.lit("prices").alias("source"), F.col("d").alias("data_date"), payload.alias("payload"))
-    p = rep.prices(landing, "TWSE")
-    return p.select("symbol", "data_date", "volume", rounded(F.col("close"), 2).alias("close"))
+    per = li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("d")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"))
+    row = F.array(F.concat(_code("l_suppkey"), F.lit(" ")), F.lit("n"), F.format_number("q", 0), F.format_number(F.col("q") * 1.5, 2),
+                  F.lit("--"), F.format_number(F.col("q") * 2.25, 2))
+    untraded = F.array(F.lit("1234"), F.lit("idle"), F.lit("0"), F.lit("---"), F.lit("--"), F.lit("0"))
+    out = []
+    for market, odd, names in (("TWSE", 0, ("證券代號", "證券名稱", "成交股數", " 收盤價", "開盤價", "成交金額")),
+                               ("TPEx", 1, ("代號", "名稱", "成交股數", "收盤", "開盤", "成交金額(元)"))):
+        grid = per.where(F.dayofmonth("d") % 2 == odd).groupBy("d").agg(F.collect_list(row).alias("rows"))
+        data = F.concat("rows", F.array(untraded)) if market == "TPEx" else F.col("rows")
+        payload = F.to_json(F.struct(F.array(*map(F.lit, names)).alias("fields"), data.alias("data")))
+        out.append(rep.prices(grid.select(F.lit("prices").alias("source"), F.col("d").alias("data_date"), payload.alias("payload")), market))
+    p = out[0].unionByName(out[1])
+    return p.select("symbol", "data_date", "volume", rounded(F.col("close"), 2).alias("close"), rounded(F.col("turnover"), 2).alias("turnover"))
 
 
 @query("html_rows", """WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), 1) - 1 AS pos FROM pages)
@@ -82,32 +99,36 @@ def filing_share_counts(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", filing_shares(text).alias("shares"))
 
 
-@query("distribution_records", """WITH g AS (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, 1 + l_partkey % 17 AS level, CAST(sum(l_quantity) AS BIGINT) AS h FROM lineitem WHERE l_suppkey <= 8999 GROUP BY 1, 2, 3)
-SELECT lpad(CAST(l_suppkey + 1000 AS VARCHAR), 4, '0') AS symbol, d AS data_date, CAST(sum(h) FILTER (level <= 8) AS DOUBLE) AS retail_ratio, CAST(max(h) FILTER (level = 17) AS BIGINT) AS holder_count FROM g GROUP BY 1, 2""")
+@query("distribution_records", f"""WITH g AS (SELECT l_suppkey AS s, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, 1 + l_partkey % 17 AS level, CAST(sum(l_quantity) AS BIGINT) AS h FROM lineitem GROUP BY 1, 2, 3)
+SELECT {_CODE} AS symbol, d AS data_date, {", ".join(f"CAST(coalesce(sum(h) FILTER (level BETWEEN {a} AND {b}), 0) AS DOUBLE) AS {n}" for n, a, b in (("retail_ratio", 1, 8), ("medium_ratio", 9, 11), ("large_ratio", 12, 14), ("super_large_ratio", 15, 15)))},
+ CAST(max(h) FILTER (level = 17) AS BIGINT) AS holder_count FROM g WHERE length({_CODE}) = 4 GROUP BY 1, 2""")
 def distribution_records(spark, sf):
     """Holder distribution rebuilt as flat JSON lists (names with a byte-order mark) and parsed back."""
-    g = V.table(spark, sf, "lineitem").where("l_suppkey <= 8999").groupBy(
+    g = V.table(spark, sf, "lineitem").groupBy(
         "l_suppkey", F.to_date(F.date_trunc("month", "l_shipdate")).alias("d"), (1 + F.col("l_partkey") % 17).alias("level")).agg(
         F.sum("l_quantity").cast("bigint").alias("h"))
-    rec = F.to_json(F.array(F.create_map(
-        F.lit("﻿資料日期"), F.date_format("d", "yyyyMMdd"), F.lit("證券代號"), F.concat(F.lpad((F.col("l_suppkey") + 1000).cast("string"), 4, "0"), F.lit("  ")),
+    rec = F.create_map(
+        F.lit("\ufeff資料日期"), F.date_format("d", "yyyyMMdd"), F.lit("證券代號"), F.concat(_code("l_suppkey"), F.lit("  ")),
         F.lit("持股分級"), F.col("level").cast("string"), F.lit("人數"), F.format_number("h", 0), F.lit("股數"), F.lit("0"),
-        F.lit("占集保庫存數比例%"), F.col("h").cast("string"))))
-    _, summary = rep.distribution(rep.distribution_records(g.select(rec.alias("payload"))), DEFAULTS["holders"])
-    return summary.select("symbol", "data_date", F.when(F.col("retail_ratio") > 0, F.col("retail_ratio")).alias("retail_ratio"), "holder_count")
+        F.lit("占集保庫存數比例%"), F.col("h").cast("string"))
+    payload = g.groupBy("l_suppkey", "d").agg(F.to_json(F.collect_list(rec)).alias("payload"))
+    _, summary = rep.distribution(rep.distribution_records(payload.select("payload")), DEFAULTS["holders"])
+    return summary.select("symbol", "data_date", "retail_ratio", "medium_ratio", "large_ratio", "super_large_ratio", "holder_count")
 
 
-@query("vendor_ticks", """SELECT user_id AS symbol, event_id AS seq, 100 + value AS price, CASE event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side FROM events""")
+@query("vendor_ticks", """SELECT user_id AS symbol, event_id AS seq, 100 + value AS price, CASE event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side,
+ CASE WHEN event_id % 5 <> 0 THEN value END AS bid_price FROM events""")
 def vendor_ticks(spark, sf):
-    """Parallel vendor arrays back to trades; here every delivery holds one trade."""
-    one = F.array
-    arrays = V.table(spark, sf, "events").select(
-        F.col("user_id").alias("symbol"), F.to_date("ts").alias("data_date"),
-        one(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts"), one(F.col("value") + 100).alias("close"),
-        one("event_id").alias("volume"), one("value").alias("bid_price"), one("value").alias("ask_price"),
-        one(F.col("event_id") % 3).alias("tick_type"))
+    """Parallel vendor arrays back to trades: one delivery holds all trades of a user and day, in order of arrival."""
+    e = V.table(spark, sf, "events")
+    trade = F.struct("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts"), F.col("value").alias("v"))
+    day = e.groupBy("user_id", F.to_date("ts").alias("data_date")).agg(F.sort_array(F.collect_list(trade)).alias("x"))
+    arrays = day.select(
+        F.col("user_id").alias("symbol"), "data_date", F.col("x.ts").alias("ts"), F.transform("x", lambda t: t["v"] + 100).alias("close"),
+        F.col("x.event_id").alias("volume"), F.transform("x", lambda t: F.when(t["event_id"] % 5 != 0, t["v"])).alias("bid_price"),
+        F.col("x.v").alias("ask_price"), F.transform("x", lambda t: t["event_id"] % 3).alias("tick_type"))
     t = rep.vendor_ticks(arrays)
-    return t.select("symbol", F.col("volume").alias("seq"), "price", "side")
+    return t.select("symbol", F.col("volume").alias("seq"), "price", "side", "bid_price")
 
 
 @query("payload_features", """SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS absent FROM events""")

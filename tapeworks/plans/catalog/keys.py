@@ -74,12 +74,13 @@ def market_day_with_previous(spark, sf):
         rounded(F.lag("index_close").over(w), 4).alias("prev_close"))
 
 
-@query("universe_filter", """SELECT lpad(CAST(p_partkey AS VARCHAR), 4, '0') AS symbol, count(*) AS n FROM part
-WHERE regexp_matches(lpad(CAST(p_partkey AS VARCHAR), 4, '0'), '^[0-9]{4}$') AND lpad(CAST(p_partkey AS VARCHAR), 4, '0') NOT LIKE '00%'
-GROUP BY 1""")
+@query("universe_filter", """SELECT CASE WHEN regexp_matches(code, '^[0-9]{4}$') AND code NOT LIKE '00%' THEN code END AS symbol, count(*) AS n
+FROM (SELECT CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 4, '0') ELSE CAST(p_partkey AS VARCHAR) END AS code FROM part) GROUP BY 1""")
 def universe_filter(spark, sf):
-    code = F.lpad(F.col("p_partkey").cast("string"), 4, "0")
-    return V.table(spark, sf, "part").select(code.alias("symbol")).where(is_stock_symbol("symbol")).groupBy(
+    """Parts by whole code; all codes outside the universe are counted under a NULL symbol."""
+    key = F.col("p_partkey").cast("string")
+    code = F.when(F.length(key) < 4, F.lpad(key, 4, "0")).otherwise(key)
+    return V.table(spark, sf, "part").select(F.when(is_stock_symbol(code), code).alias("symbol")).groupBy(
         "symbol").agg(F.count(F.lit(1)).alias("n"))
 
 

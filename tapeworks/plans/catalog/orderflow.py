@@ -142,14 +142,14 @@ def trade_rates(spark, sf):
 
 @query("tick_dedupe", WV("ticks") + """
 , t2 AS (SELECT symbol, data_date, ts, price, volume, side, seq FROM ticks UNION ALL
- SELECT symbol, data_date, ts, price, volume, side, seq + 1000000 FROM ticks WHERE symbol % 2 = 0 UNION ALL
- SELECT symbol, data_date, ts, price, volume, side, seq + 2000000 FROM ticks WHERE symbol = 1 AND side = 1),
+ SELECT symbol, data_date, ts, price, volume, side, -1 - 2 * seq FROM ticks WHERE symbol % 2 = 0 UNION ALL
+ SELECT symbol, data_date, ts, price, volume, side, -2 - 2 * seq FROM ticks WHERE symbol % 10 = 1 AND side = 1),
 g AS (SELECT symbol, data_date, ts, price, volume, side, count(*) AS c, min(seq) AS f FROM t2 GROUP BY ALL),
 v AS (SELECT symbol, data_date FROM g GROUP BY 1, 2 HAVING min(c) >= 2 AND min(c) = max(c))
 SELECT symbol, data_date, f AS seq FROM g WHERE (symbol, data_date) IN (SELECT symbol, data_date FROM v) UNION ALL
 SELECT symbol, data_date, seq FROM t2 WHERE (symbol, data_date) NOT IN (SELECT symbol, data_date FROM v)""")
 def tick_dedupe(spark, sf):
     t = V.ticks(spark, sf).select("symbol", "data_date", "ts", "price", "volume", "side", "seq")
-    again = t.where("symbol % 2 = 0").withColumn("seq", F.col("seq") + 1000000)
-    partly = t.where("symbol = 1 AND side = 1").withColumn("seq", F.col("seq") + 2000000)
+    again = t.where("symbol % 2 = 0").withColumn("seq", -1 - 2 * F.col("seq"))
+    partly = t.where("symbol % 10 = 1 AND side = 1").withColumn("seq", -2 - 2 * F.col("seq"))
     return ticks.repair_batches(t.unionByName(again).unionByName(partly)).select("symbol", "data_date", "seq")

@@ -113,10 +113,10 @@ def _recursive(sql: str) -> str:
 
 
 @query("cost_basis", _recursive(WV("bars", "flows", "actions")) + f""", {_PANEL}, {_COST}
-SELECT cs.symbol, cs.data_date, {R("cb.pos", 4)} AS position, {R("cb.cost", 3)} AS cost FROM cs JOIN cb ON cs.symbol = cb.symbol AND cs.k = cb.k WHERE cb.pos = 0 OR cb.pos > 1e-6""")
+SELECT cs.symbol, cs.data_date, {R("cb.pos", 4)} AS position, {R("cb.cost", 3)} AS cost FROM cs JOIN cb ON cs.symbol = cb.symbol AND cs.k = cb.k""")
 def cost_basis(spark, sf):
     c = flows.cost_basis(_panel(spark, sf), "avg_price", "net")
-    return c.where("position = 0 OR position > 1e-6").select("symbol", "data_date", _r("position", F.col("position"), 4), _r("cost", F.col("cost"), 3))
+    return c.select("symbol", "data_date", _r("position", F.col("position"), 4), _r("cost", F.col("cost"), 3))
 
 
 @query("divergence_scan", _recursive(WV("stock", "bars", "flows", "actions")) + f""", {_PANEL}, {_DIV}, {_COST},

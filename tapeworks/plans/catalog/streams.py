@@ -14,7 +14,8 @@ WV = V.with_views
 
 def _source(spark, sf):
     schema = V.table(spark, sf, "events").schema
-    return V.tick_columns(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"))
+    symbols = F.lit(V.n_tick_symbols(spark, sf).first()["n"])
+    return V.tick_columns(spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet"), symbols)
 
 
 def _drain(spark, df):

@@ -81,16 +81,21 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
         (_money(F.col("turnover")) / _money(F.col("volume"))).alias("index_close"))
 
 
+def n_tick_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """How many symbols the events are traded under: it grows with the users, about fifteen of them to a symbol."""
+    return table(spark, sf, "events").agg(F.greatest(F.lit(10), 1 + F.floor(F.max("user_id") / 15)).alias("n"))
+
+
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as trades of ten symbols."""
-    return tick_columns(table(spark, sf, "events"))
+    """Events as trades."""
+    return tick_columns(table(spark, sf, "events"), n_tick_symbols(spark, sf).scalar())
 
 
-def tick_columns(e: DataFrame) -> DataFrame:
+def tick_columns(e: DataFrame, symbols: Column) -> DataFrame:
     price = F.round(F.col("value") + 100, 2)
     wide = (F.col("event_id") % 4) != 0
     return e.select(
-        (F.col("user_id") % 10).alias("symbol"), F.to_date("ts").alias("data_date"), F.col("ts").cast("timestamp").alias("ts"),
+        (F.col("user_id") % symbols).alias("symbol"), F.to_date("ts").alias("data_date"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"), price.alias("price"), (1 + F.col("event_id") % 50).cast("bigint").alias("volume"),
         F.when(wide, price - 0.01 * (F.col("event_id") % 3)).alias("bid_price"),
         F.when(wide, price + 0.01 * (F.col("event_id") % 5)).alias("ask_price"),
@@ -179,7 +184,7 @@ SQL: dict[str, str] = {
     FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2))""",
     "idx": """idx AS (SELECT data_date, CAST(sum(CAST(turnover AS DECIMAL(18,2))) AS DOUBLE)
   / CAST(sum(CAST(volume AS DECIMAL(18,2))) AS DOUBLE) AS index_close FROM bars GROUP BY 1)""",
-    "ticks": """ticks AS (SELECT user_id % 10 AS symbol, CAST(ts AS DATE) AS data_date, ts, event_id AS seq,
+    "ticks": """ticks AS (SELECT user_id % (SELECT greatest(10, 1 + max(user_id) // 15) FROM events) AS symbol, CAST(ts AS DATE) AS data_date, ts, event_id AS seq,
   round(value + 100, 2) AS price, 1 + event_id % 50 AS volume,
   CASE WHEN event_id % 4 <> 0 THEN round(value + 100, 2) - 0.01::DOUBLE * (event_id % 3) END AS bid_price,
   CASE WHEN event_id % 4 <> 0 THEN round(value + 100, 2) + 0.01::DOUBLE * (event_id % 5) END AS ask_price,

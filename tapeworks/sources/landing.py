@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tapeworks.operators.merge import upsert
+from tapeworks.session import discard, materialise, path_exists
+
 _PLACE = r"/([^/]+)/(\d{4}-\d{2}-\d{2})/[^/]+$"
 
 
@@ -66,7 +69,30 @@ def append_days(df: DataFrame, path: str, date: str = "data_date") -> None:
     df.write.mode("append").partitionBy(date).parquet(path)
 
 
-def replace_day_stream(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Micro-batches rewrite the dates they carry; re-delivery of a batch changes nothing."""
+def merge_days(batch: DataFrame, path: str, keys: list[str], date: str = "data_date", seq: str | None = None,
+               files_per_day: int = 1) -> None:
+    """Merge rows into the dates they carry: a stored row stays unless ``batch`` has its key, and only those dates
+    are written again. Of rows with one key the one with the largest ``seq`` counts (any of them without it).
+
+    The merged dates are written beside the table first, because a table cannot be read and replaced at once.
+    """
+    spark = batch.sparkSession
+    new = materialise(batch)
+    if path_exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        days = new.select(date).distinct()
+        old = old.join(days, date, "left_semi").select(*new.columns)
+    else:
+        old = new.limit(0)
+    merged = materialise(upsert(old, new, [date, *[k for k in keys if k != date]], seq=seq).select(*new.columns))
+    write_days(merged, path, date, [k for k in keys if k != date] or [date], files_per_day)
+    for done in (new, merged):
+        discard(done)
+
+
+def replace_day_stream(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], seq: str | None = None,
+                       files_per_day: int = 1) -> DataStreamWriter:
+    """Micro-batches are merged into the dates they carry by ``keys``: the files of a date may come in any number of
+    batches, and re-delivery of a batch changes nothing."""
     return df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, _id: write_days(batch, path))
+        lambda batch, _id: merge_days(batch, path, list(keys), seq=seq, files_per_day=files_per_day))

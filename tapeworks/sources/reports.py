@@ -369,4 +369,3 @@ def chart_bars(own: DataFrame, fallback: DataFrame) -> DataFrame:
     return bars.withColumn("prev_close", F.lag("close").over(w))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["header_pos"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tapeworks.operators.merge import upsert
+from tapeworks.sources.landing import merge_days
 
 
 def tick_rows(events: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -139,26 +139,11 @@ def write_append(df: DataFrame, path: str, checkpoint: str, trigger: dict[str, A
 
 
 def write_upsert(df: DataFrame, path: str, checkpoint: str, keys: list[str], partition: str = "data_date",
-                 trigger: dict[str, Any] | None = None) -> DataStreamWriter:
-    """Idempotent sink: each micro-batch is merged into the partitions it touches, which are then replaced."""
-    def merge(batch: DataFrame, _id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            try:
-                old = spark.read.schema(batch.schema).parquet(path).join(
-                    batch.select(partition).distinct(), partition, "left_semi").select(*batch.columns)
-            except Exception:  # first batch: nothing stored yet
-                old = batch.limit(0)
-            from tapeworks.session import materialise
-            merged = materialise(upsert(old, batch.dropDuplicates(keys), keys))
-            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                partition).parquet(path)
-        finally:
-            batch.unpersist()
-
-    return df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
-        **(trigger or {"availableNow": True}))
+                 trigger: dict[str, Any] | None = None, seq: str | None = None) -> DataStreamWriter:
+    """Idempotent sink: each micro-batch is merged into the partitions it touches, which are then replaced. Of rows
+    of a batch with one key the one with the largest ``seq`` counts."""
+    return df.writeStream.foreachBatch(lambda batch, _id: merge_days(batch, path, keys, partition, seq)).option(
+        "checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
 
 
 def book_bars(quotes: DataFrame, imbalance: Column, size: str = "1 minute", delay: str = "2 minutes") -> DataFrame:

@@ -319,3 +319,34 @@ def test_holding_features(spark):
     assert r["pledge_ratio"] == pytest.approx(0.15) and r["pledge_ratio_change"] == pytest.approx(0.15 - 10 / 150)
     stale = filings.holding_features(df, F.lit("2026-06-30").cast("date"), F.lit("2026-03-31 15:00:00").cast("timestamp"))
     assert stale.count() == 0
+
+
+def test_cost_basis_survives_many_full_turnovers(spark):
+    rows, position, cost, want = [], 0.0, None, []
+    for k in range(400):
+        net, price = (1, 10.0) if k == 0 else (999 if k % 2 else -999, 10.0 + k % 7 * 0.3)
+        rows.append((k % 3, date(2023, 1, 1) + timedelta(days=k), price, net))
+        if net > 0:
+            cost = price if position <= 0 else (position * cost + net * price) / (position + net)
+        position = max(0.0, position + net)
+        cost = cost if position > 0 else None
+        want.append(cost)
+    df = spark.createDataFrame([("A", d, p, n) for _, d, p, n in rows], "symbol string, data_date date, p double, n long")
+    got = [r["cost"] for r in flows.cost_basis(df, "p", "n").orderBy("data_date").collect()]
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got, want))
+
+
+def test_cost_basis_long_walk_equals_fold(spark):
+    import random
+    rng, position, cost, rows, want = random.Random(3), 0.0, None, [], []
+    for k in range(5000):
+        net, price = rng.randint(-900, 1000), rng.uniform(5, 500)
+        rows.append(("A", date(2001, 1, 1) + timedelta(days=k), price, net))
+        if net > 0:
+            cost = price if position <= 0 else (position * cost + net * price) / (position + net)
+        position = max(0.0, position + net)
+        cost = cost if position > 0 else None
+        want.append(cost)
+    df = spark.createDataFrame(rows, "symbol string, data_date date, p double, n long")
+    got = [r["cost"] for r in flows.cost_basis(df, "p", "n").orderBy("data_date").collect()]
+    assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 * max(1, b)) for a, b in zip(got, want))
