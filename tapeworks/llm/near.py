@@ -16,7 +16,6 @@ COORDINATES = 64
 BUCKETS = 1 << 20  # counters of the frequency sketch
 SKETCH = "n_shingles long, low long, high long, sig array<int>"
 STAR = 4  # of its rarest coordinates, so many give a document a pair in the first round
-CROWD = 200  # postings longer than this are refined before pairs are made
 SMALL = 1 << 20  # rows of 8 to 16 bytes that may be sent to every executor
 _SALT = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -83,7 +82,7 @@ def representatives(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
-    """(token, place, node, low, n_shingles): the rarest coordinates of each signature, the rarest at place 0.
+    """(node, low, n_shingles, tokens): the rarest coordinates of each signature, the rarest first; written once.
 
     Two signatures with ``matches`` common values share one among any K - matches + 1 coordinates if both take them
     by one global order. The order is by frequency over all documents, counted in a sketch of fixed size, so the
@@ -106,7 +105,7 @@ def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
         flat = np.take_along_axis(t, order, 1).ravel()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keep), pa.array(flat))
 
-    return d.select("node", "low", "n_shingles", F.posexplode(rarest("tokens")).alias("place", "token"))
+    return materialise(d.select("node", "low", "n_shingles", rarest("tokens").alias("tokens")))
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -171,15 +170,20 @@ def components(links: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(node, component) over the links between different shingle sets, without making all pairs of a group.
 
-    First the postings of each document's rarest coordinates pair their members with their smallest one. What these
-    links join needs no more pairs. Then every posting that still holds members of different components pairs those
-    outside its largest component with the members of other components, if their signatures (carried along) have
-    enough in common. A crowded posting is first split by a second common coordinate: signatures that share
-    ``matches`` values share two among the rarest K - matches + 2.
+    1. The postings of each document's rarest coordinates pair their members with their smallest one. What these
+       links join needs no more pairs: from here on only postings count that hold several components.
+    2. In each of those, one member of the largest component, picked at random, is paired with the members of the
+       other components.
+    3. Where components still meet, members outside the largest one are paired with the members of other components.
+
+    The collisions of two whole signatures, carried along, are counted inside the joins of 2 and 3, so only pairs
+    above the match threshold are made, and each only by the rarest coordinate they share.
     """
     matches = match_threshold(percent)
     near = 100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles")
-    posts = materialise(rare_prefix(nodes, matches))
+    alike = _matches(F.col("l.sig"), F.col("r.sig")) >= matches
+    prefix = rare_prefix(nodes, matches)
+    posts = prefix.select("node", "low", "n_shingles", F.posexplode("tokens").alias("place", "token"))
     first = posts.where(F.col("place") < STAR)
     heads = (first.groupBy("token").agg(F.min(F.struct("node", "low", "n_shingles")).alias("head"),
                                         F.count("*").alias("members")).where("members > 1"))
@@ -187,35 +191,41 @@ def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     star = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.low") != F.col("r.low")) & near).select(*_pair("l", "r"))
     links = confirmed(star, nodes, docs, percent, matches)
     joined = components(_node_links(links))
-    held = _unsettled(posts, joined, nodes)
-    if held.isEmpty():
-        return joined
-    crowded = held.where(F.col("members") > CROWD).select(F.col("token").alias("held"), "node", "low").distinct()
-    if not crowded.isEmpty():
-        wide = rare_prefix(nodes.join(crowded.select("node", "low").distinct(), ["node", "low"], "left_semi"), matches - 1)
-        split = (crowded.join(wide, ["node", "low"]).where("held <> token")
-                 .select(F.xxhash64(F.least("held", "token"), F.greatest("held", "token")).alias("token"), "node", "low",
-                         "n_shingles").distinct())
-        held = held.where(F.col("members") <= CROWD).unionByName(_unsettled(materialise(split), joined, nodes))
-    l, r = held.where("component <> main").alias("l"), held.alias("r")
-    other = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.low") < F.col("r.low")))
-    alike = _matches(F.col("l.sig"), F.col("r.sig")) >= matches
-    rest = l.join(r, (F.col("l.token") == F.col("r.token")) & other & near & alike).select(*_pair("l", "r"))
-    return components(_node_links(links.union(confirmed(rest, nodes, docs, percent, matches))))
-
-
-def _unsettled(posts: DataFrame, joined: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of postings that hold several components: token, node, low, n_shingles, sig, component, main, members."""
-    named = posts.select("token", "node", "low", "n_shingles").join(_few(joined), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
+    held = _unsettled(posts.select("token", "node", "low", "n_shingles"), joined)
+    carried = nodes.select("node", "low", "sig").join(prefix.select("node", "low", "tokens"), ["node", "low"])
+    for crowd in (True, False):
+        if held.isEmpty():
+            return joined
+        full = _with_largest(held).join(carried, ["node", "low"])
+        l, r = full.where("component <> main").alias("l"), full.alias("r")
+        if crowd:
+            pick = F.min(F.struct(F.xxhash64("token", "low"), "node", "low", "n_shingles", "sig", "tokens")).alias("p")
+            r = full.where("component = main").groupBy("token").agg(pick).select("token", "p.*").alias("r")
+            other = F.lit(True)
+        else:
+            other = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main"))
+                                                                      | (F.col("l.low") < F.col("r.low")))
+        rarest = F.array_intersect("l.tokens", "r.tokens")[0] == F.col("l.token")
+        pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & other & near & alike & (rarest | F.lit(crowd)))
+        links = links.union(confirmed(pairs.select(*_pair("l", "r")), nodes, docs, percent, matches))
+        joined = components(_node_links(links))
+        held = _unsettled(held.drop("component"), joined) if crowd else held
+    return joined
+
+
+def _unsettled(posts: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of postings that hold several components: token, node, low, n_shingles, component."""
+    named = posts.join(_few(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = materialise(named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
                           .where("a <> b").select("token"))
-    held = materialise(named.join(_few(several), "token", "left_semi"))
+    return materialise(named.join(_few(several), "token", "left_semi"))
+
+
+def _with_largest(held: DataFrame) -> DataFrame:
+    """``held`` with the largest component of each posting as ``main``."""
     counts = held.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = (counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("members"))
-               .select("token", F.col("top.component").alias("main"), "members"))
-    held = held.join(largest, "token").join(nodes.select("node", "low", "sig"), ["node", "low"])
-    return materialise(held)
+    largest = counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"))
+    return held.join(largest.select("token", F.col("top.component").alias("main")), "token")
 
 
 def _node_links(links: DataFrame) -> DataFrame:
