@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 _MODULES = ("keys", "aggregates", "windows", "cross", "orderflow", "priceflow", "scoring", "validation",
-            "filings", "ingest", "streams")
+            "filings", "ingest", "jobs", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
