@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.operators import order_stats
-from tapeworks.session import materialise
 
 
 def winsor_z(long: DataFrame, keys: Sequence[str], value: str, out: str,
@@ -16,20 +15,20 @@ def winsor_z(long: DataFrame, keys: Sequence[str], value: str, out: str,
 
     Groups below two values have no z (NULL, never 0); a group of equal values has z = 0.
     ``keys`` normally holds the date and, for melted features, the feature name, so all features
-    share the same few shuffles. Limits and moments are one row per group and are written out:
-    the planner sees their real size and broadcasts them only below its threshold, so the rows
-    themselves are not shuffled again.
+    share the same few shuffles. The plan is lazy; limits and moments are one row per group, so adaptive
+    execution joins them without another shuffle of the rows while they are small. ``long`` is read by
+    several branches: pass a stored table when it is costly.
     """
     keys = list(keys)
     known = long.where(F.col(value).isNotNull())
     v = F.col(value).cast("double")
     if q > 0:
-        limits = materialise(order_stats.quantiles(known, keys, value, {"_lo": q, "_hi": 1 - q}).drop("_n"))
+        limits = order_stats.quantiles(known, keys, value, {"_lo": q, "_hi": 1 - q}).drop("_n")
         known = known.join(limits, keys).withColumn("_w", F.greatest(F.col("_lo"), F.least(F.col("_hi"), v)))
     else:
         known = known.withColumn("_lo", F.lit(None)).withColumn("_hi", F.lit(None)).withColumn("_w", v)
-    moments = materialise(known.groupBy(*keys).agg(
-        F.count("_w").alias("_zn"), F.avg("_w").alias("_zm"), F.stddev_pop("_w").alias("_zs")))
+    moments = known.groupBy(*keys).agg(
+        F.count("_w").alias("_zn"), F.avg("_w").alias("_zm"), F.stddev_pop("_w").alias("_zs"))
     z = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(
         F.col("_w") - F.col("_zm"), F.col("_zs"))))
     return (

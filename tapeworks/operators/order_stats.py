@@ -18,23 +18,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.session import materialise
-
 MANTISSA_STEPS = 1024
 _OCTAVE_SHIFT = 1100
+_NULL_PARTS = 256
 
 
 def value_bucket(value: Column, steps: int = MANTISSA_STEPS) -> Column:
     """Non-decreasing integer function of a DOUBLE: 2**-10 relative width by default.
 
     If ``log2`` rounds to a neighbouring octave the mantissa term moves by a whole
-    octave the other way, so order is kept.
+    octave the other way, so order is kept. Infinities have the outermost buckets; NaN comes last of all.
     """
+    end = (2 * _OCTAVE_SHIFT + 100) * steps
     size = F.abs(value)
     octave = F.floor(F.log2(size))
     step = F.floor((size / F.pow(F.lit(2.0), octave) - 1.0) * steps)
     magnitude = ((octave + _OCTAVE_SHIFT) * steps + step).cast("bigint")
-    return F.when(value == 0, F.lit(0).cast("bigint")).otherwise(
+    special = (F.when(F.isnan(value), F.lit(end + 1)).when(value == float("inf"), F.lit(end))
+               .when(value == float("-inf"), F.lit(-end)).when(value == 0, F.lit(0)))
+    return F.when(special.isNotNull(), special.cast("bigint")).otherwise(
         F.signum(value).cast("bigint") * magnitude)
 
 
@@ -67,12 +69,15 @@ def distinct_positions(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def _attach(df: DataFrame, pos: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Positions of each row's value. Rows without a value match nothing and are spread by a salt, not by their NULL."""
     right = pos.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                       "_v", "_ties", "_below", "_n")
-    cond = F.col(value).cast("double") == F.col("_v")
+                       "_v", "_ties", "_below", "_n", F.lit(0).alias("_zero"))
+    salt = F.when(F.col(value).isNull(), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(_NULL_PARTS))).otherwise(F.lit(0))
+    cond = (F.col(value).cast("double") == F.col("_v")) & (F.col("_salt") == F.col("_zero"))
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(right, cond, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+    return df.withColumn("_salt", salt.cast("int")).join(right, cond, "left").drop(
+        "_v", "_salt", "_zero", *[f"_k{i}" for i in range(len(keys))])
 
 
 def with_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -112,9 +117,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, floa
     per entry of ``qs``.
 
     Bucket counts come first (combined map-side). They tell which few buckets hold the wanted
-    positions; only rows of those buckets are ordered. The list of wanted buckets is written out,
-    so the planner knows its size: it is broadcast below the planner's threshold and joined by
-    shuffle above it.
+    positions; only rows of those buckets are ordered. The plan is lazy; adaptive execution sees the
+    real size of the list of wanted buckets and broadcasts it only below the planner's threshold.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(
@@ -133,8 +137,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, floa
     inside = F.lit(False)
     for at in spots.values():
         inside = inside | ((F.col("_base") <= at) & (at < F.col("_base") + F.col("_bn")))
-    wanted = materialise(hist.where(inside).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_base", "_n"))
+    wanted = hist.where(inside).select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), "_base", "_n")
     cond = F.col("_b") == F.col("_kb")
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.numbers import LOT, ratio, rounded
 from tapeworks.operators import adjust, backtest, flows, joins, order_stats, research, rolling
 from tapeworks.plans.regime import regime_label
+from tapeworks.session import materialise
 
 # Display order of divergence states.
 STATUS_ORDER = ["bullish_div", "aligned_up", "neutral", "aligned_down", "bearish_div"]
@@ -173,7 +174,7 @@ def forward_report(signals: DataFrame, bars: DataFrame, cfg: Mapping[str, Any])
     ``signals`` holds symbol, data_date, score; ``bars`` adjusted OHLC without NULLs.
     """
     bt = cfg["backtest"]
-    rows = backtest.outcomes(signals, bars, bt)
+    rows = materialise(backtest.outcomes(signals, bars, bt))  # read by the buckets and by both ranks
     stats = backtest.by_bucket(rows, bt["buckets"]).groupBy("horizon", "label").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"),
         F.avg("net").alias("avg_net"))
