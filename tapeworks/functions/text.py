@@ -35,21 +35,17 @@ def cell_at(row: Column, position: int) -> Column:
 
 
 def method_category(c: Column | str) -> Column:
-    """market / gift / trust / private, or unknown when not wholly one kind."""
+    """market / gift / trust / private, or unknown when not wholly one kind.
+
+    The words between blanks and brackets must all be market methods, the note on the daily limit aside.
+    """
     text = clean_text(c)
-    rest = text
-    for m in MARKET_METHODS:
-        rest = F.regexp_replace(rest, m, "")
-    rest = F.regexp_replace(rest, r"[()（）\s]|" + DAILY_LIMIT_NOTE, "")
-    single = F.create_map(*[F.lit(x) for kv in SINGLE_METHODS.items() for x in kv])
-    any_market = F.lit(False)
-    for m in MARKET_METHODS:
-        any_market = any_market | text.contains(m)
-    return F.coalesce(
-        F.try_element_at(single, text),
-        F.when((rest == "") & any_market, F.lit("market")),
-        F.lit("unknown"),
-    )
+    words = F.filter(F.split(text, r"[\s()（）]+"), lambda w: ~w.isin("", DAILY_LIMIT_NOTE))
+    market = F.forall(words, lambda w: w.rlike(f"^({'|'.join(MARKET_METHODS)})+$"))
+    kind = F.when((F.size(words) > 0) & market, "market")
+    for name, single in SINGLE_METHODS.items():
+        kind = kind.when(text == name, single)
+    return kind.otherwise("unknown")
 
 
 def row_hash(*cols: Column | str) -> Column:
@@ -59,27 +55,32 @@ def row_hash(*cols: Column | str) -> Column:
 
 def website(c: Column | str) -> Column:
     """``scheme://host/path`` with lower-case host, or NULL if it is not a web address."""
-    bare = F.regexp_replace(col(c), r"[\s\x{3000}\x{00A0}]+", "")
-    full = F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
-    rx = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::\d+)?([^?#]*)"
-    scheme = F.lower(F.regexp_extract(full, rx, 1))
-    host = F.lower(F.regexp_extract(full, rx, 2))
-    ok = (bare != "") & scheme.isin("http", "https") & \
-        host.rlike(r"^(?=.{4,253}$)([a-z0-9-]+\.)+[a-z]{2,}$")
-    return F.when(ok, F.concat(scheme, F.lit("://"), host, F.regexp_extract(full, rx, 3)))
+    text = F.regexp_replace(col(c), r"[\s\x{3000}\x{00A0}]+", "")
+    stated = F.instr(text, "://") > 0
+    scheme = F.when(stated, F.lower(F.substring_index(text, "://", 1))).otherwise("https")
+    rest = F.when(stated, F.substring(text, F.instr(text, "://") + 3, F.length(text))).otherwise(text)
+    authority = F.get(F.split(rest, "[/?#]"), F.lit(0))
+    path = F.get(F.split(F.substring(rest, F.length(authority) + 1, F.length(rest)), "[?#]"), F.lit(0))
+    host = F.lower(F.substring_index(F.substring_index(authority, "@", -1), ":", 1))
+    labels = F.split(host, "[.]")
+    ok = (scheme.isin("http", "https") & F.length(host).between(4, 253) & (F.size(labels) > 1)
+          & F.forall(labels, lambda x: x.rlike("^[-a-z0-9]+$")) & F.element_at(labels, -1).rlike("^[a-z][a-z]+$"))
+    return F.when(ok, F.concat(scheme, F.lit("://"), host, path))
 
 
-# Phrases of official amendment notes.
-AMENDS_NOTE = r"本單為變更\s*(\d{2,3}/\d{1,2}/\d{1,2})"
-SUPERSEDED_NOTE = r"本單已於\s*(\d{2,3}/\d{1,2}/\d{1,2})"
+# Phrases of official amendment notes; a date follows.
+AMENDS_NOTE = "本單為變更"
+SUPERSEDED_NOTE = "本單已於"
 
 
 def amendment(note: Column | str) -> Column:
     """STRUCT(note, amends, superseded): which earlier filing this one replaces, and since when
     it is itself replaced. Any other wording is kept as text only."""
     text = clean_text(note)
-    return F.struct(
-        F.nullif(text, F.lit("")).alias("note"),
-        roc_any(F.regexp_extract(text, AMENDS_NOTE, 1)).alias("amends"),
-        roc_any(F.regexp_extract(text, SUPERSEDED_NOTE, 1)).alias("superseded"),
-    )
+
+    def date_after(phrase: str) -> Column:
+        rest = F.when(text.contains(phrase), F.substring_index(text, phrase, -1))
+        return roc_any(F.regexp_extract(F.trim(rest), "^[0-9]+/[0-9]+/[0-9]{1,2}", 0))
+
+    return F.struct(F.nullif(text, F.lit("")).alias("note"), date_after(AMENDS_NOTE).alias("amends"),
+                    date_after(SUPERSEDED_NOTE).alias("superseded"))

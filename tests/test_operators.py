@@ -350,3 +350,10 @@ def test_cost_basis_long_walk_equals_fold(spark):
     df = spark.createDataFrame(rows, "symbol string, data_date date, p double, n long")
     got = [r["cost"] for r in flows.cost_basis(df, "p", "n").orderBy("data_date").collect()]
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9 * max(1, b)) for a, b in zip(got, want))
+
+
+def test_ranks_with_infinity_nan_and_nulls(spark):
+    values = [float("-inf"), -3.0, 0.0, 2.5, 2.5, 1e300, float("inf"), float("nan"), None, None]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    got = {r["id"]: r["r"] for r in order_stats.average_ranks(df, [], {"v": "r"}).collect()}
+    assert [got[k] for k in range(10)] == [1, 2, 3, 4.5, 4.5, 6, 7, 8, None, None]
