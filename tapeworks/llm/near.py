@@ -4,6 +4,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
@@ -16,6 +17,7 @@ COORDINATES = 64
 BUCKETS = 1 << 20  # counters of the frequency sketch
 SKETCH = "n_shingles long, low long, high long, sig array<int>"
 STAR = 4  # of its rarest coordinates, so many give a document a pair in the first round
+BLOCK = 512  # members of a posting that are compared at once
 SMALL = 1 << 20  # rows of 8 to 16 bytes that may be sent to every executor
 _SALT = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -134,9 +136,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     wanted = materialise(counted.select(F.col("a").alias("k"), F.col("ra").alias("raw"))
                          .union(counted.select("b", "rb")).distinct()
                          .select("k", F.col("k.node").alias("__id"), F.col("raw").alias("__raw")))
-    texts = docs.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("__id"))
-                                               & (row_key() == F.col("__raw")))
-    sets = materialise(texts.select("k", "text").dropDuplicates(["k"]).select("k", arrow_udf(_shingle_set, "array<long>")("text").alias("s")))
+    sets = _sets(docs, wanted)
     both = (counted.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a")
             .join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
             .withColumn("common", F.size(F.array_intersect("x", "y")))
@@ -144,6 +144,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
     return materialise(both.select("a", "b"))
 
 
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, s): the full shingle set of each wanted row (k, __id, __raw), from its whole text."""
+    texts = docs.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("__id")) & (row_key() == F.col("__raw")))
+    one = texts.select("k", "text").dropDuplicates(["k"])
+    return materialise(one.select("k", arrow_udf(_shingle_set, "array<long>")("text").alias("s")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): connected components of (u, v) links; component is the smallest node.
 
@@ -172,16 +179,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     1. The postings of each document's rarest coordinates pair their members with their smallest one. What these
        links join needs no more pairs: from here on only postings count that hold several components.
-    2. In each of those, one member of the largest component, picked at random, is paired with the members of the
-       other components.
-    3. Where components still meet, members outside the largest one are paired with the members of other components.
-
-    The collisions of two whole signatures, carried along, are counted inside the joins of 2 and 3, so only pairs
-    above the match threshold are made, and each only by the rarest coordinate they share.
+    2. Members of such postings are compared inside tasks, block against block, and no pair leaves a task: first
+       their signatures, which tells who has a partner in another component, then the full sets of those.
     """
     matches = match_threshold(percent)
     near = 100 * F.least("l.n_shingles", "r.n_shingles") >= percent * F.greatest("l.n_shingles", "r.n_shingles")
-    alike = _matches(F.col("l.sig"), F.col("r.sig")) >= matches
     prefix = rare_prefix(nodes, matches)
     posts = prefix.select("node", "low", "n_shingles", F.posexplode("tokens").alias("place", "token"))
     first = posts.where(F.col("place") < STAR)
@@ -192,25 +194,120 @@ def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     links = confirmed(star, nodes, docs, percent, matches)
     joined = components(_node_links(links))
     held = _unsettled(posts.select("token", "node", "low", "n_shingles"), joined)
-    carried = nodes.select("node", "low", "sig").join(prefix.select("node", "low", "tokens"), ["node", "low"])
-    for crowd in (True, False):
-        if held.isEmpty():
-            return joined
-        full = _with_largest(held).join(carried, ["node", "low"])
-        l, r = full.where("component <> main").alias("l"), full.alias("r")
-        if crowd:
-            pick = F.min(F.struct(F.xxhash64("token", "low"), "node", "low", "n_shingles", "sig", "tokens")).alias("p")
-            r = full.where("component = main").groupBy("token").agg(pick).select("token", "p.*").alias("r")
-            other = F.lit(True)
-        else:
-            other = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main"))
-                                                                      | (F.col("l.low") < F.col("r.low")))
-        rarest = F.array_intersect("l.tokens", "r.tokens")[0] == F.col("l.token")
-        pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & other & near & alike & (rarest | F.lit(crowd)))
-        links = links.union(confirmed(pairs.select(*_pair("l", "r")), nodes, docs, percent, matches))
-        joined = components(_node_links(links))
-        held = _unsettled(held.drop("component"), joined) if crowd else held
-    return joined
+    if held.isEmpty():
+        return joined
+    carried = nodes.select("node", "low", "raw", "sig").join(prefix.select("node", "low", "tokens"), ["node", "low"])
+    more = _block_links(_blocks(held).join(carried, ["node", "low"]), docs, percent, matches)
+    return components(_node_links(links.union(more)))
+
+
+def _blocks(held: DataFrame) -> DataFrame:
+    """Members of postings with the task group they meet in: (gate, i, j), where ``block`` is i or j.
+
+    Small postings share a gate by hash. A large posting is cut into blocks, and every two of its blocks meet in a
+    group of their own, so no group outgrows two blocks.
+    """
+    sizes = held.groupBy("token").agg(F.count("*").alias("members"))
+    d = held.join(sizes, "token").withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+    gates = F.lit(-(-held.count() // (2 * BLOCK)) or 1)
+    d = d.withColumn("block", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    gate = F.when(F.col("parts") == 1, F.pmod(F.col("token"), gates)).otherwise(F.col("token"))
+    return materialise(d.select("token", "node", "low", "n_shingles", "component", "block", gate.alias("gate"),
+                                F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+
+def _alike(p: pd.DataFrame, percent: int, matches: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (per posting) of different components whose signatures collide often enough, each pair only in
+    the posting of the rarest coordinate it shares."""
+    low, n, comp = (p[c].to_numpy() for c in ("low", "n_shingles", "component"))
+    token, block, i, j = (p[c].to_numpy() for c in ("token", "block", "i", "j"))
+    sig, tokens = np.stack(p["sig"].to_numpy()), np.stack(p["tokens"].to_numpy())
+    order = np.argsort(token, kind="stable")
+    out = []
+    for rows in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+        same = i[rows[0]] == j[rows[0]]
+        x = rows if same else rows[block[rows] == i[rows[0]]]
+        y = rows if same else rows[block[rows] == j[rows[0]]]
+        ok = comp[x][:, None] != comp[y]
+        ok &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
+        if same:
+            ok &= low[x][:, None] < low[y]
+        a, b = np.nonzero(ok)
+        a, b = x[a], y[b]
+        for k in range(0, len(a), 1 << 14):
+            u, v = a[k:k + (1 << 14)], b[k:k + (1 << 14)]
+            good = (sig[u] == sig[v]).sum(1) >= matches
+            u, v = u[good], v[good]
+            if len(u):
+                # the order of coordinates is one for all, so the first common one of either list is the rarest
+                common = (tokens[u][:, :, None] == tokens[v][:, None, :]).any(2)
+                first = tokens[u, common.argmax(1)] == token[u]
+                out.append((u[first], v[first]))
+    return out
+
+
+def _block_links(held: DataFrame, docs: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) between components that meet in postings; enough of them to join what is linked."""
+    def partners(p: pd.DataFrame) -> pd.DataFrame:
+        hit = [np.concatenate(pair) for pair in _alike(p, percent, matches)]
+        rows = np.unique(np.concatenate(hit)) if hit else []
+        return p.iloc[rows].drop(columns=["sig", "tokens"])
+
+    def links(p: pd.DataFrame) -> pd.DataFrame:
+        sets, comp = p["s"].to_numpy(), p["component"].to_numpy()
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        found = []
+        for u, v in _alike(p, percent, matches):
+            sizes = _common(sets, u, v)
+            total = np.array([len(sets[k]) for k in u]) + np.array([len(sets[k]) for k in v])
+            for k in np.flatnonzero(100 * sizes >= percent * (total - sizes)):
+                x, y = top(comp[u[k]]), top(comp[v[k]])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((u[k], v[k]))
+        a, b = (np.array([f[k] for f in found], int) for k in (0, 1))
+        return pd.DataFrame({"an": p["node"].to_numpy()[a], "al": p["low"].to_numpy()[a], "bn": p["node"].to_numpy()[b],
+                             "bl": p["low"].to_numpy()[b]})
+
+    base = ("node long, low long, token long, n_shingles long, component long, block int, gate long, i int, j int, raw long")
+    columns = [c.split()[0] for c in base.split(", ")]
+    needed = held.select(*columns, "sig", "tokens").groupBy("gate", "i", "j").applyInPandas(partners, base)
+    needed = materialise(needed)
+    wanted = materialise(needed.select("node", "low", "raw").distinct().select(
+        F.struct("node", "low").alias("k"), F.col("node").alias("__id"), F.col("raw").alias("__raw")))
+    sets = _sets(docs, wanted).select("k.node", "k.low", "s")
+    full = (needed.join(held.select("node", "low", "token", "i", "j", "sig", "tokens"), ["node", "low", "token", "i", "j"])
+            .join(sets, ["node", "low"]))
+    got = full.groupBy("gate", "i", "j").applyInPandas(links, "an long, al long, bn long, bl long")
+    return materialise(got.select(F.struct(F.col("an").alias("node"), F.col("al").alias("low")).alias("a"),
+                                  F.struct(F.col("bn").alias("node"), F.col("bl").alias("low")).alias("b")))
+
+
+def _common(sets: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Size of the intersection of the sets of each pair; many pairs of few documents go through a matrix product."""
+    rows = np.unique(np.concatenate((u, v)))
+    if len(u) < 2 * len(rows):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(u, v)], np.int64)
+    lengths = [len(sets[k]) for k in rows]
+    _, place, times = np.unique(np.concatenate([sets[k] for k in rows]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[place]
+    owner = np.repeat(np.arange(len(rows)), lengths)[column >= 0]
+    column = column[column >= 0]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        part = (column >= start) & (column < start + 4096)
+        m = np.zeros((len(rows), 4096), np.float32)
+        m[owner[part], column[part] - start] = 1
+        both += m @ m.T
+    return both[np.searchsorted(rows, u), np.searchsorted(rows, v)].astype(np.int64)
 
 
 def _unsettled(posts: DataFrame, joined: DataFrame) -> DataFrame:
@@ -221,13 +318,6 @@ def _unsettled(posts: DataFrame, joined: DataFrame) -> DataFrame:
     return materialise(named.join(_few(several), "token", "left_semi"))
 
 
-def _with_largest(held: DataFrame) -> DataFrame:
-    """``held`` with the largest component of each posting as ``main``."""
-    counts = held.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = counts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"))
-    return held.join(largest.select("token", F.col("top.component").alias("main")), "token")
-
-
 def _node_links(links: DataFrame) -> DataFrame:
     return links.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
