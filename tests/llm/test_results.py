@@ -88,9 +88,10 @@ def brute_components(rows, percent):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("star", [near.STAR, 0])
-def test_near_against_all_pairs(make, star, monkeypatch):
-    monkeypatch.setattr(near, "STAR", star)  # without the first round, the others have all to do
+@pytest.mark.parametrize("star, block", [(near.STAR, near.BLOCK), (0, 3)])
+def test_near_against_all_pairs(make, star, block, monkeypatch):
+    monkeypatch.setattr(near, "STAR", star)  # without the first round the second has all to do, here in tiny blocks
+    monkeypatch.setattr(near, "BLOCK", block)
     rng = random.Random(3)
     rows, k = [], 0
     for _ in range(14):
