@@ -12,7 +12,6 @@ from tapeworks.sources import reports as rep
 #: are outside the universe on both sides.
 _O = """o AS (SELECT CAST(o_custkey + 1000 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_custkey AS c,
  o_orderkey % 100000 - 50000 AS a FROM orders WHERE length(CAST(o_custkey + 1000 AS VARCHAR)) = 4)"""
-_K, _C = F.col("k"), F.col("c")
 
 
 def _orders(spark, sf):
@@ -46,14 +45,14 @@ _INST = """, CASE WHEN k % 7 <> 0 THEN k % 1000 END AS dealer_self_net, -c AS de
 @query("job_institutional", f"WITH {_O} SELECT symbol, d AS data_date, a + CASE WHEN k % 11 <> 0 THEN c - 700 ELSE 0 END AS foreign_net, c AS trust_net{_INST}")
 def job_institutional(spark, sf):
     o = _orders(spark, sf)
-    cells = [F.col("symbol"), _number("a"), _number(F.when(_K % 11 != 0, _C - 700)), _number("c"), _number(F.when(_K % 7 != 0, _K % 1000)), _number(-_C)]
+    cells = [F.col("symbol"), _number("a"), _number(F.when(F.col("k") % 11 != 0, F.col("c") - 700)), _number("c"), _number(F.when(F.col("k") % 7 != 0, F.col("k") % 1000)), _number(-F.col("c"))]
     names = ["證券代號", "外陸資買賣超股數(不含外資自營商)", "外資自營商買賣超股數", "投信買賣超股數", "自營商買賣超股數(自行買賣)", "自營商買賣超股數(避險)"]
     return rep.institutional(_landed(o, cells, names)).drop("available_at")
 
 
 @query("job_institutional_second", f"WITH {_O} SELECT symbol, d AS data_date, a AS foreign_net, c AS trust_net{_INST}")
 def job_institutional_second(spark, sf):
-    at = {0: F.col("symbol"), 10: _number("a"), 13: _number("c"), 16: _number(F.when(_K % 7 != 0, _K % 1000)), 19: _number(-_C)}
+    at = {0: F.col("symbol"), 10: _number("a"), 13: _number("c"), 16: _number(F.when(F.col("k") % 7 != 0, F.col("k") % 1000)), 19: _number(-F.col("c"))}
     cells = [at.get(i, F.lit("7")) for i in range(24)]
     return rep.institutional(_landed(_orders(spark, sf), cells, ["x"] * 24, nested=True), by_position=True).drop("available_at")
 
@@ -63,7 +62,7 @@ _LOTS = """k % 900 AS margin_buy, k % 800 AS margin_sell, k % 70000 AS margin_ba
 
 
 def _lots():
-    return [_number(_K % 900), _number(_K % 800), _number(_K % 70000), _number(F.when(_K % 5 != 0, _K % 60)), _number(_K % 50), _number("c")]
+    return [_number(F.col("k") % 900), _number(F.col("k") % 800), _number(F.col("k") % 70000), _number(F.when(F.col("k") % 5 != 0, F.col("k") % 60)), _number(F.col("k") % 50), _number("c")]
 
 
 @query("job_margin", f"WITH {_O} SELECT symbol, d AS data_date, {_LOTS} FROM o")
@@ -81,7 +80,7 @@ def job_margin_second(spark, sf):
 
 @query("job_lending", f"WITH {_O} SELECT symbol, d AS data_date, k % 9000 AS sbl_short_sell, CASE WHEN k % 3 <> 0 THEN k % 8000 END AS sbl_return, k AS sbl_balance FROM o")
 def job_lending(spark, sf):
-    at = {0: F.col("symbol"), 9: _number(_K % 9000), 10: _number(F.when(_K % 3 != 0, _K % 8000)), 12: _number("k")}
+    at = {0: F.col("symbol"), 9: _number(F.col("k") % 9000), 10: _number(F.when(F.col("k") % 3 != 0, F.col("k") % 8000)), 12: _number("k")}
     return rep.lending(_landed(_orders(spark, sf), [at.get(i, F.lit("")) for i in range(14)], ["x"] * 14)).drop("available_at")
 
 
@@ -98,12 +97,12 @@ _EX = f"""CASE WHEN k % 13 <> 0 THEN (100 + k % 50)::DOUBLE ELSE 0 END AS prev_c
 
 
 def _ex():
-    return [_number(F.when(_K % 13 != 0, 100 + _K % 50).otherwise(0), 2), _number(100 + _K % 50 - 0.5 * (_K % 7), 2)]
+    return [_number(F.when(F.col("k") % 13 != 0, 100 + F.col("k") % 50).otherwise(0), 2), _number(100 + F.col("k") % 50 - 0.5 * (F.col("k") % 7), 2)]
 
 
 @query("job_ex_dividends", f"WITH {_O} SELECT symbol, d + 3 AS data_date, CASE k % 3 WHEN 0 THEN '權' WHEN 1 THEN '息' ELSE '權息' END AS kind, {_EX} FROM o")
 def job_ex_dividends(spark, sf):
-    kind = F.when(_K % 3 == 0, "權").when(_K % 3 == 1, "息").otherwise("權息")
+    kind = F.when(F.col("k") % 3 == 0, "權").when(F.col("k") % 3 == 1, "息").otherwise("權息")
     day = F.concat(F.regexp_replace(F.regexp_replace(_roc(F.date_add("d", 3)), "/", "年"), "年(..)$", "月$1"), F.lit("日"))
     cells = [day, F.col("symbol"), *_ex(), F.lit("1"), kind]
     names = ["資料日期", "股票代號", "除權息前收盤價", "除權息參考價", "權值+息值", "權/息"]
@@ -114,8 +113,8 @@ def job_ex_dividends(spark, sf):
 @query("job_ex_dividends_second", f"""WITH {_O} SELECT symbol, d + 3 AS data_date, CASE k % 3 WHEN 0 THEN '權' WHEN 1 THEN '息' ELSE '權息' END AS kind, {_EX},
  {R("1 + (k % 90) / 1000.0::DOUBLE", 6)} AS share_factor FROM o""")
 def job_ex_dividends_second(spark, sf):
-    kind = F.when(_K % 3 == 0, "除權").when(_K % 3 == 1, "除息").otherwise("除權息")
-    cells = [_roc(F.date_add("d", 3)), F.col("symbol"), *_ex(), F.lit("1"), kind, _number(_K % 90)]
+    kind = F.when(F.col("k") % 3 == 0, "除權").when(F.col("k") % 3 == 1, "除息").otherwise("除權息")
+    cells = [_roc(F.date_add("d", 3)), F.col("symbol"), *_ex(), F.lit("1"), kind, _number(F.col("k") % 90)]
     names = ["除權息日期", "代號", "除權息前收盤價", "除權息參考價", "權值+息值", "權/息", "每仟股無償配股"]
     t = rep.ex_dividends(_landed(_orders(spark, sf), cells, names, nested=True), with_free_shares=True)
     return t.select("symbol", "data_date", "kind", "prev_close", "reference_price", rounded(F.col("adj_factor"), 6).alias("adj_factor"),
@@ -126,7 +125,7 @@ def job_ex_dividends_second(spark, sf):
  {R("1 + (k % 50) / 400.0::DOUBLE", 6)} AS share_factor FROM o WHERE k % 50 > 0""")
 def job_rights_forecast(spark, sf):
     day = F.concat(F.regexp_replace(F.regexp_replace(_roc(F.date_add("d", 20)), "/", "年"), "年(..)$", "月$1"), F.lit("日"))
-    cells = [day, F.col("symbol"), F.lit("權"), ((_K % 50) / 400.0).cast("string")]
+    cells = [day, F.col("symbol"), F.lit("權"), ((F.col("k") % 50) / 400.0).cast("string")]
     t = rep.rights_forecast(_landed(_orders(spark, sf), cells, ["除權除息日期", "股票代號", "除權息", "無償配股率"]))
     return t.select("symbol", "data_date", "available_at", "kind", rounded(F.col("share_factor"), 6).alias("share_factor"))
 
@@ -134,7 +133,7 @@ def job_rights_forecast(spark, sf):
 @query("job_resumptions", f"""WITH {_O} SELECT symbol, d + 9 AS data_date, (100 + k % 50)::DOUBLE AS prev_close, (40 + k % 30)::DOUBLE AS reference_price,
  {R(R("(40 + k % 30)::DOUBLE / (100 + k % 50)", 8), 6)} AS adj_factor, {R(R("CASE WHEN k % 4 <> 0 THEN (100 + k % 50)::DOUBLE / (40 + k % 30) END", 8), 6)} AS share_factor FROM o""")
 def job_resumptions(spark, sf):
-    cells = [_roc(F.date_add("d", 9)), F.col("symbol"), _number(100 + _K % 50, 2), _number(40 + _K % 30, 2), F.when(_K % 4 == 0, "退還股款").otherwise("彌補虧損")]
+    cells = [_roc(F.date_add("d", 9)), F.col("symbol"), _number(100 + F.col("k") % 50, 2), _number(40 + F.col("k") % 30, 2), F.when(F.col("k") % 4 == 0, "退還股款").otherwise("彌補虧損")]
     names = ["恢復買賣日期", "股票代號", "停止買賣前收盤價格", "恢復買賣參考價", "減資原因"]
     t = rep.resumptions(_landed(_orders(spark, sf), cells, names), "減資")
     return t.select("symbol", "data_date", "prev_close", "reference_price", rounded(F.col("adj_factor"), 6).alias("adj_factor"),
@@ -145,9 +144,9 @@ def job_resumptions(spark, sf):
  {R(R("CASE k % 3 WHEN 0 THEN (1 + k % 9)::DOUBLE WHEN 1 THEN (500 + k % 400) / 1000.0::DOUBLE ELSE (100 + k % 50)::DOUBLE / (40 + k % 30) END", 8), 6)} AS share_factor FROM o""")
 def job_resumptions_second(spark, sf):
     row = lambda label, v: F.concat(F.lit(f"<table><tr><th>{label}：</th> <td> "), v.cast("string"), F.lit("</td></tr></table>"))
-    detail = (F.when(_K % 3 == 0, row("變更股票面額換股率", 1 + _K % 9)).when(_K % 3 == 1, row("每壹仟股換發新股票", 500 + _K % 400)).otherwise(""))
+    detail = (F.when(F.col("k") % 3 == 0, row("變更股票面額換股率", 1 + F.col("k") % 9)).when(F.col("k") % 3 == 1, row("每壹仟股換發新股票", 500 + F.col("k") % 400)).otherwise(""))
     compact = F.regexp_replace(_roc(F.date_add("d", 9)), "/", "")
-    cells = [F.lpad(compact, 7, "0"), F.col("symbol"), _number(100 + _K % 50, 2), _number(40 + _K % 30, 2), detail]
+    cells = [F.lpad(compact, 7, "0"), F.col("symbol"), _number(100 + F.col("k") % 50, 2), _number(40 + F.col("k") % 30, 2), detail]
     names = ["恢復買賣日期", "股票代號", "最後交易日之收盤價格", "減資恢復買賣開始日參考價格", "詳細資料"]
     t = rep.resumptions(_landed(_orders(spark, sf), cells, names, nested=True), "減資", True)
     return t.select("symbol", "data_date", rounded(F.col("adj_factor"), 6).alias("adj_factor"), rounded(F.col("share_factor"), 6).alias("share_factor"))
@@ -156,7 +155,7 @@ def job_resumptions_second(spark, sf):
 @query("job_reduction_forecast", f"""WITH {_O} SELECT symbol, d + 9 AS data_date, CAST(d AS TIMESTAMP) + INTERVAL 15 HOUR AS available_at, {R("(k % 100) / 100.0::DOUBLE", 6)} AS share_factor
 FROM o WHERE k % 100 > 0""")
 def job_reduction_forecast(spark, sf):
-    cells = [_roc(F.date_add("d", 9)), F.col("symbol"), _number((_K % 100) / 100.0, 2)]
+    cells = [_roc(F.date_add("d", 9)), F.col("symbol"), _number((F.col("k") % 100) / 100.0, 2)]
     t = rep.reduction_forecast(_landed(_orders(spark, sf), cells, ["恢復買賣日期", "股票代號", "減資換股率"]))
     return t.select("symbol", "data_date", "available_at", rounded(F.col("share_factor"), 6).alias("share_factor"))
 
