@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,36 +28,31 @@ class Encoder:
         self.by_word = separable(self.model)
         if self.by_word:
             alone = self.model.encode("x ")[len(self.model.encode("x")):]
-            self.alone = np.array(alone, np.int32)
-        self.known: dict[bytes, np.ndarray] = {}
+            self.alone = array("i", alone).tobytes()
+        self.known: dict[bytes, bytes] = {}
         self.held = 0
 
-    def segment(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of distinct words, each of which begins with a marker (a space or the marker itself)."""
+    def segment(self, words: list[bytes]) -> list[bytes]:
+        """Ids (32-bit) of distinct words, each of which begins with a marker (a space or the marker itself)."""
         new = [w for w in words if w not in self.known]
         if self.held > REMEMBERED:
             self.known, self.held, new = {}, 0, words
         # the model puts a marker before what it encodes, which stands for the word's first one
         texts = [(w[1:] if w[0] == 32 else w[3:]).decode() for w in new]
         for w, t, ids in zip(new, texts, self.model.encode(texts, num_threads=1)):
-            self.known[w] = np.array(ids, np.int32) if t else self.alone
+            self.known[w] = array("i", ids).tobytes() if t else self.alone
             self.held += 200 + len(w) + 4 * len(ids)
         return [self.known[w] for w in words]
 
-    def encode(self, texts: pa.Array, end: bool = True) -> pa.Array:
-        """Lists of ids; null is the empty text. ``end`` adds the model's end id."""
-        flats, sizes = [], []
-        for row, raw, off in text_chunks(texts, STRETCH):
+    def stretches(self, texts: pa.Array, end: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of consecutive texts, number of ids of each); null is the empty text. ``end`` adds the model's end id."""
+        for _, raw, off in text_chunks(texts, STRETCH):
             if self.by_word:
                 ids, n = self._joined(raw, off)
             else:
                 lists = self.model.encode([raw[a:b].tobytes().decode() for a, b in zip(off, off[1:])], num_threads=1)
                 ids, n = np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists])
-            if end:
-                ids, n = np.insert(ids, np.cumsum(n), self.model.eos_id()), n + 1
-            flats.append(ids), sizes.append(n)
-        bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1)
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(flats) if flats else [], pa.int32()))
+            yield (np.insert(ids, np.cumsum(n), self.model.eos_id()), n + 1) if end else (ids, n)
 
     def _joined(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), from the distinct words of these texts."""
@@ -77,16 +74,22 @@ class Encoder:
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, bounds, pa.py_buffer(raw)]).dictionary_encode()
         table = self.segment(words.dictionary.to_pylist())
         place = words.indices.to_numpy()
-        length = np.array([len(x) for x in table])
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
         first = np.cumsum(length) - length
         each = length[place]
         upto = np.cumsum(each)
-        ids = np.concatenate(table)[np.repeat(first[place] - (upto - each), each) + np.arange(upto[-1])]
+        ids = np.frombuffer(b"".join(table), np.int32)[np.repeat(first[place] - (upto - each), each) + np.arange(upto[-1])]
         return ids, np.diff(np.concatenate(([0], upto))[np.searchsorted(starts, off)])
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Texts of lists of ids, by the model's own decoding."""
-        return pa.array([None if x is None else self.model.decode(x) for x in ids.to_pylist()], pa.string())
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+        """Texts of consecutive lists of ids, by the model's own decoding."""
+        upto = np.cumsum(n)
+        return pa.array([self.model.decode(ids[b - k:b].tolist()) for k, b in zip(n, upto)], pa.string())
+
+
+def _lists(flats: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    bounds = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *flats])))
 
 
 def separable(model) -> bool:
@@ -108,14 +111,23 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(text: Column | str, model: str) -> Column:
-    """Ids of a text (null: empty) with the end id last."""
-    return arrow_udf(lambda t: _encoder(model).encode(t), "array<int>")(text)
+def encoded(text: Column | str, model: str, end: bool = True) -> Column:
+    """Ids of a text (null: empty), with the end id last."""
+    @arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        found = list(_encoder(model).stretches(texts, end))
+        return _lists([i for i, _ in found], [n for _, n in found])
+
+    return ids(text)
 
 
 def decoded(ids: Column | str, model: str) -> Column:
     """Text of a list of ids; null stays null."""
-    return arrow_udf(lambda i: _encoder(model).decode(i), "string")(ids)
+    @arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _encoder(model).model.decode(x) for x in map(pa.ListScalar.as_py, lists)], pa.string())
+
+    return text(ids)
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
@@ -129,9 +141,11 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """
     @arrow_udf("struct<ids:array<int>,decoded:string>")
     def both(text: pa.Array) -> pa.Array:
-        e = _encoder(model)
-        ids = e.encode(text)
-        return pa.StructArray.from_arrays([ids, e.decode(ids)], ["ids", "decoded"])
+        e, flats, sizes, texts = _encoder(model), [], [], []
+        for ids, n in e.stretches(text):
+            flats.append(ids), sizes.append(n), texts.append(e.decode(ids, n))
+        back = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+        return pa.StructArray.from_arrays([_lists(flats, sizes), back], ["ids", "decoded"])
 
     return docs.select("doc_id", both("text").alias("__r")).select("doc_id", "__r.ids", "__r.decoded")
 
