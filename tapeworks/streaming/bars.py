@@ -1,14 +1,11 @@
-"""Structured Streaming twins of the batch tick operators: bars, de-duplication, sessions, state."""
+"""Structured Streaming twins of the batch tick operators: bars, de-duplication, sessions, sinks (state: ordered.py)."""
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tapeworks.sources.landing import merge_days
 
@@ -67,71 +64,6 @@ def with_latency(rows: DataFrame) -> DataFrame:
     return rows.withColumn("latency_ms", F.unix_millis("received_at") - F.unix_millis("ts"))
 
 
-_STATE = "last_start timestamp, cvd long, last_price double, position double, cost double"
-_OUT = ("symbol string, data_date date, start timestamp, close double, delta long, cvd long, "
-        "position double, cost double")
-
-
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the closed bars of one symbol-day into its running delta, position and average cost."""
-    last, cvd, price, position, cost = (
-        state.get if state.exists else (None, 0, float("nan"), 0.0, float("nan")))
-    rows = pd.concat(list(frames)).sort_values("start")
-    out = []
-    for r in rows.itertuples(index=False):
-        cvd += int(r.delta)
-        if r.delta > 0:
-            held = position + r.delta
-            cost = r.vwap if position <= 0 else (position * cost + r.delta * r.vwap) / held
-            position = held
-        elif r.delta < 0:
-            position += r.delta
-            if position <= 0:
-                position, cost = 0.0, float("nan")
-        last, price = r.start, r.close
-        out.append((key[0], key[1], r.start, r.close, int(r.delta), cvd, position, cost))
-    state.update((last, cvd, price, position, cost))
-    yield pd.DataFrame(out, columns=["symbol", "data_date", "start", "close", "delta", "cvd", "position", "cost"])
-
-
-def running_state(minute_bars: DataFrame) -> DataFrame:
-    """Running delta and cost per symbol-day over *closed* bars: at most one row per minute reaches
-    the state function, however many trades there were."""
-    keyed = minute_bars.withColumn("symbol", F.col("symbol").cast("string")).withColumn(
-        "data_date", F.to_date("start")).select("symbol", "data_date", "start", "close", "delta", "vwap")
-    return keyed.groupBy("symbol", "data_date").applyInPandasWithState(
-        _advance, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-_ALERT_OUT = "symbol string, data_date date, action string, prev_action string, chip_score double"
-
-
-def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev_action, prev_date = state.get if state.exists else (None, None)
-    rows = pd.concat(list(frames)).sort_values("data_date")
-    out = []
-    for r in rows.itertuples(index=False):
-        near = prev_date is not None and (r.data_date - prev_date).days <= r.lookback
-        seen = prev_action if near else None
-        if r.action != seen:
-            out.append((key[0], r.data_date, r.action, seen, r.chip_score))
-        prev_action, prev_date = r.action, r.data_date
-    state.update((prev_action, prev_date))
-    yield pd.DataFrame(out, columns=["symbol", "data_date", "action", "prev_action", "chip_score"])
-
-
-def action_changes(snapshots: DataFrame, lookback_days: int, wanted: list[str]) -> DataFrame:
-    """Snapshot stream to alerts: a symbol's action differs from its previous one in the look-back.
-
-    One row per symbol and day reaches the state, so keys stay small.
-    """
-    keyed = snapshots.select(F.col("symbol").cast("string").alias("symbol"), "data_date", "action", "chip_score",
-                             F.lit(lookback_days).alias("lookback"))
-    hits = keyed.groupBy("symbol").applyInPandasWithState(
-        _changed, _ALERT_OUT, "action string, data_date date", "append", GroupStateTimeout.NoTimeout)
-    return hits.where(F.col("action").isin(wanted))
-
-
 def write_append(df: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] | None = None) -> DataStreamWriter:
     """Append sink in micro-batches, by time (``processingTime``) or until the input is used up."""
     return df.writeStream.format("parquet").outputMode("append").option("path", path).option(
