@@ -58,28 +58,30 @@ def holder_features(spark, sf):
         "change_pct", "pledge_ratio", "pledge_ratio_change", "major_change_pct")])
 
 
-def _resolve(src: str, start: str) -> str:
-    return f"""sn AS (SELECT *, row_number() OVER (ORDER BY row_hash) AS rid FROM {src} WHERE available_at <= TIMESTAMP '{AS_OF}'),
+def _resolve(src: str, start: str, as_of: str = f"TIMESTAMP '{AS_OF}'") -> str:
+    return f"""sn AS (SELECT *, row_number() OVER (ORDER BY row_hash) AS rid FROM {src} WHERE available_at <= {as_of}),
 cd AS (SELECT a.rid AS by_rid, a.symbol, b.rid AS vic FROM sn a LEFT JOIN sn b ON a.symbol = b.symbol AND b.data_date = a.amends_report_date AND a.reporter_role = b.reporter_role
   AND a.reporter_name = b.reporter_name AND a.rid <> b.rid WHERE a.amends_report_date IS NOT NULL AND a.amends_report_date >= {start}),
 cn AS (SELECT by_rid, any_value(symbol) AS symbol, count(vic) AS n, max(vic) AS vic FROM cd GROUP BY 1),
 lv AS (SELECT sn.*, method_category = 'market' AND rid NOT IN (SELECT vic FROM cn WHERE n = 1)
-  AND NOT coalesce(CAST(superseded_on + 1 AS TIMESTAMP) + INTERVAL 8 HOUR <= TIMESTAMP '{AS_OF}', false) AS live,
+  AND NOT coalesce(CAST(superseded_on + 1 AS TIMESTAMP) + INTERVAL 8 HOUR <= {as_of}, false) AS live,
   planned_own_shares + planned_trust_shares AS tot, coalesce(transfer_shares <> planned_own_shares + planned_trust_shares, false) AS bad FROM sn),
 rs AS (SELECT lv.symbol, count(*) FILTER (live) AS n_live, bool_or(live AND bad) AS inconsistent, coalesce(bool_or(am.symbol IS NOT NULL), false) AS ambiguous,
   count(*) FILTER (live AND tot IS NOT NULL AND NOT bad) AS known, sum(tot) FILTER (live) AS s FROM lv LEFT JOIN (SELECT DISTINCT symbol FROM cn WHERE n <> 1) am ON am.symbol = lv.symbol GROUP BY 1),
 tr AS (SELECT symbol, ambiguous, inconsistent, n_live > 0 OR ambiguous AS listed, CASE WHEN NOT ambiguous AND NOT inconsistent AND known = n_live THEN s END AS shares FROM rs)"""
 
 
-_RECENT = "rc AS (SELECT * FROM declarations WHERE data_date BETWEEN DATE '1999-02-15' AND DATE '1999-03-31')"
+# every declaration, resolved by symbol and quarter as of the last one
+_QUARTER = "rc AS (SELECT * REPLACE (symbol * 1000 + 4 * (year(data_date) - 1990) + quarter(data_date) AS symbol) FROM declarations)"
 
 
-@query("amendment_self_join", WV("declarations") + f""", {_RECENT}, {_resolve("rc", "DATE '1999-02-15'")}
-SELECT symbol, ambiguous, inconsistent, listed, CAST(shares AS BIGINT) AS shares FROM tr""")
+@query("amendment_self_join", WV("declarations") + f""", {_QUARTER}, {_resolve("rc", "DATE '0001-01-01'", "(SELECT max(available_at) FROM declarations)")}
+SELECT symbol // 1000 AS symbol, symbol % 1000 AS quarter, ambiguous, inconsistent, listed, CAST(shares AS BIGINT) AS shares FROM tr""")
 def amendment_self_join(spark, sf):
-    start = F.lit("1999-02-15").cast("date")
-    recent = V.declarations(spark, sf).where(F.col("data_date").between("1999-02-15", TARGET))
-    return filings.resolve_transfers(recent, _at(), start).select("symbol", "ambiguous", "inconsistent", "listed", "shares")
+    d = V.declarations(spark, sf)
+    quarter = 4 * (F.year("data_date") - 1990) + F.quarter("data_date")
+    r = filings.resolve_transfers(d.withColumn("symbol", F.col("symbol") * 1000 + quarter), d.agg(F.max("available_at")).scalar())
+    return r.select(F.floor(F.col("symbol") / 1000).alias("symbol"), (F.col("symbol") % 1000).alias("quarter"), "ambiguous", "inconsistent", "listed", "shares")
 
 
 @query("amendment_resolution_full", WV("declarations") + f""", {_resolve("declarations", "DATE '1999-03-01'")}
@@ -99,7 +101,9 @@ def _shadow(spark, sf):
     target = F.lit(TARGET).cast("date")
     usable = (F.col("data_date").cast("timestamp") + F.expr("INTERVAL 32 HOURS") <= _at()) & (F.col("data_date") <= target)
     win = usable_window(market_calendar(b), usable, 8).select("data_date")
-    coverage = b.join(st, "symbol").select("market", "data_date", F.when(F.col("symbol") % 2 == 0, "forward").otherwise("backfill").alias("ingestion_mode"))
+    coverage = b.join(st, "symbol").select("market", "data_date", 
+                                                 F.when(F.col("market").isin("ASIA", "EUROPE"), "forward").when(F.col("market") == "AFRICA", "backfill")
+                                                 .when(F.col("symbol") % 2 == 0, "forward").otherwise("backfill").alias("ingestion_mode"))
     return filings.shadow_features(st.select("symbol", "market"), V.holdings(spark, sf), V.declarations(spark, sf), coverage, win, target, _at())
 
 
@@ -110,22 +114,38 @@ def transfer_ratio(spark, sf):
     return _shadow(spark, sf).select("symbol", "holding_month", _r("sale_ratio", F.col("transfer_market_sale_ratio"), 7))
 
 
-@query("shadow_features_z", WV("stock", "bars", "cal", "holdings", "declarations") + f""", {_HOLD},
-v AS (SELECT symbol, ratio AS x FROM hf WHERE ratio IS NOT NULL), q AS (SELECT quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM v),
-c AS (SELECT symbol, greatest(lo, least(hi, x)) AS x FROM v, q)
-SELECT symbol, {R("CASE WHEN (SELECT stddev_pop(x) FROM c) = 0 THEN 0 ELSE greatest(-5, least(5, (x - (SELECT avg(x) FROM c)) / (SELECT stddev_pop(x) FROM c))) END", 5)} AS pledge_ratio_z FROM c""")
+_SALE = "CASE WHEN cov.market IS NULL OR coalesce(hf.total, 0) <= 0 THEN NULL WHEN NOT coalesce(tr.listed, false) THEN 0 ELSE tr.shares / hf.total::DOUBLE END"
+
+
+@query("shadow_features_z", WV("stock", "bars", "cal", "holdings", "declarations") + f""", {_RATIO},
+raw AS (SELECT st.symbol, unnest(['insider_holding_change_pct', 'insider_pledge_ratio', 'insider_pledge_ratio_change', 'major_holder_change_pct', 'transfer_market_sale_ratio']) AS factor,
+ unnest([hf.change_pct, hf.ratio, hf.pchg, hf.major_change_pct, {_SALE}]) AS x FROM stock st LEFT JOIN hf USING (symbol) LEFT JOIN tr USING (symbol) LEFT JOIN cov USING (market)),
+v AS (SELECT * FROM raw WHERE x IS NOT NULL), q AS (SELECT factor, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM v GROUP BY 1),
+c AS (SELECT symbol, factor, greatest(lo, least(hi, x)) AS x FROM v JOIN q USING (factor)),
+m AS (SELECT factor, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM c GROUP BY 1)
+SELECT symbol, factor, {R("CASE WHEN n < 2 THEN NULL WHEN s = 0 THEN 0 ELSE greatest(-5, least(5, (x - m) / s)) END", 5)} AS z FROM c JOIN m USING (factor)""")
 def shadow_features_z(spark, sf):
     raw = materialise(_shadow(spark, sf))
     long = cross_section.melt(raw, ["symbol", "data_date"], list(filings.RAW_COLUMNS))
     z = cross_section.winsor_z(long, ["data_date", "factor"], "value", "z")
-    return z.where("factor = 'insider_pledge_ratio'").select("symbol", _r("pledge_ratio_z", F.col("z"), 5))
+    return z.select("symbol", "factor", _r("z", F.col("z"), 5))
+
+
+def _class(modes: str) -> str:
+    return f"""CASE WHEN {modes} IS NULL OR len({modes}) = 0 OR len(list_filter({modes}, lambda x: x NOT IN ('forward', 'backfill'))) > 0 THEN 'unknown' WHEN NOT list_contains({modes}, 'backfill') THEN 'point_in_time_safe'
+ WHEN NOT list_contains({modes}, 'forward') THEN 'backfill_derived' ELSE 'mixed' END"""
 
 
-@query("transfer_provenance", WV("stock", "holdings") + f""", {_HOLD}
-SELECT st.symbol, CASE WHEN hf.symbol IS NULL THEN 'unknown' ELSE 'known' END AS state FROM stock st LEFT JOIN hf USING (symbol)""")
+@query("transfer_provenance", WV("stock", "bars", "cal", "holdings", "declarations") + f""", {_RATIO},
+cm AS (SELECT market, list(DISTINCT CASE WHEN market IN ('ASIA', 'EUROPE') THEN 'forward' WHEN market = 'AFRICA' THEN 'backfill' WHEN symbol % 2 = 0 THEN 'forward' ELSE 'backfill' END) AS m
+ FROM bars JOIN stock USING (symbol) JOIN cov USING (market) WHERE data_date IN (SELECT data_date FROM win) GROUP BY 1),
+mm AS (SELECT symbol, list(DISTINCT coalesce(ingestion_mode, '?')) AS m FROM sn GROUP BY 1),
+hm AS (SELECT symbol, data_date, list(DISTINCT coalesce(ingestion_mode, '?')) AS m FROM cur GROUP BY 1, 2),
+hp AS (SELECT hf.symbol, a.m AS now, list_distinct(a.m || coalesce(b.m, [])) AS two FROM hf JOIN hm a USING (symbol, data_date) LEFT JOIN hm b ON b.symbol = hf.symbol AND hf.data_date = last_day(b.data_date + 1)),
+al AS (SELECT st.symbol, hp.two, list_distinct(coalesce(cm.m, ['?']) || coalesce(mm.m, []) || coalesce(hp.now, ['?'])) AS m FROM stock st LEFT JOIN cm USING (market) LEFT JOIN mm USING (symbol) LEFT JOIN hp USING (symbol))
+SELECT symbol, {_class("two")} AS holding_provenance, {_class("m")} AS transfer_provenance FROM al""")
 def transfer_provenance(spark, sf):
-    s = _shadow(spark, sf)
-    return s.select("symbol", F.when(F.col("holding_month").isNull(), "unknown").otherwise("known").alias("state"))
+    return _shadow(spark, sf).select("symbol", "holding_provenance", "transfer_provenance")
 
 
 @query("disclosure_times", """SELECT DISTINCT last_day(CAST(o_orderdate AS DATE)) AS month_end, greatest(CAST(last_day(CAST(o_orderdate AS DATE)) + 21 AS TIMESTAMP) + INTERVAL 8 HOUR,

@@ -6,6 +6,7 @@ from tapeworks.functions import dates as dt
 from tapeworks.functions.numbers import filing_shares, lenient_double, lenient_long, rounded
 from tapeworks.functions.text import method_category, website
 from tapeworks.plans import views as V
+from tapeworks.plans.catalog.jobs import in_blocks
 from tapeworks.plans.catalog.registry import R, query
 from tapeworks.sources import reports as rep
 
@@ -33,17 +34,17 @@ def roc_dates(spark, sf):
                     dt.roc_month_end("m").alias("month_end"))
 
 
-#: Supplier keys as codes: four digits up to 9999 - 1000, longer ones after that (and so outside the universe).
-_CODE = "CAST(s + 1000 AS VARCHAR)"
+#: Supplier keys as codes: the 9,000 four-digit ones dealt round.
+_CODE = "CAST(1000 + s % 9000 AS VARCHAR)"
 
 
 def _code(key: str):
-    return (F.col(key) + 1000).cast("string")
+    return (1000 + F.col(key) % 9000).cast("string")
 
 
 @query("report_grid", f"""WITH p AS (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY 1, 2)
 SELECT {_CODE} AS symbol, d AS data_date, CAST(q AS BIGINT) AS volume, {R("q * 1.5::DOUBLE", 2)} AS close, {R("q * 2.25::DOUBLE", 2)} AS turnover
-FROM p WHERE length({_CODE}) = 4""")
+FROM p""")
 def report_grid(spark, sf):
     """Daily price reports rebuilt as JSON payloads with all rows of the day, and parsed back by header name.
 
@@ -57,7 +58,7 @@ def report_grid(spark, sf):
     out = []
     for market, odd, names in (("TWSE", 0, ("證券代號", "證券名稱", "成交股數", " 收盤價", "開盤價", "成交金額")),
                                ("TPEx", 1, ("代號", "名稱", "成交股數", "收盤", "開盤", "成交金額(元)"))):
-        grid = per.where(F.dayofmonth("d") % 2 == odd).groupBy("d").agg(F.collect_list(row).alias("rows"))
+        grid = in_blocks(per.where(F.dayofmonth("d") % 2 == odd), ["d"], "l_suppkey").groupBy("d", "block").agg(F.collect_list(row).alias("rows"))
         data = F.concat("rows", F.array(untraded)) if market == "TPEx" else F.col("rows")
         payload = F.to_json(F.struct(F.array(*map(F.lit, names)).alias("fields"), data.alias("data")))
         out.append(rep.prices(grid.select(F.lit("prices").alias("source"), F.col("d").alias("data_date"), payload.alias("payload")), market))
@@ -101,7 +102,7 @@ def filing_share_counts(spark, sf):
 
 @query("distribution_records", f"""WITH g AS (SELECT l_suppkey AS s, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, 1 + l_partkey % 17 AS level, CAST(sum(l_quantity) AS BIGINT) AS h FROM lineitem GROUP BY 1, 2, 3)
 SELECT {_CODE} AS symbol, d AS data_date, {", ".join(f"CAST(coalesce(sum(h) FILTER (level BETWEEN {a} AND {b}), 0) AS DOUBLE) AS {n}" for n, a, b in (("retail_ratio", 1, 8), ("medium_ratio", 9, 11), ("large_ratio", 12, 14), ("super_large_ratio", 15, 15)))},
- CAST(max(h) FILTER (level = 17) AS BIGINT) AS holder_count FROM g WHERE length({_CODE}) = 4 GROUP BY 1, 2""")
+ CAST(max(h) FILTER (level = 17) AS BIGINT) AS holder_count FROM g GROUP BY 1, 2""")
 def distribution_records(spark, sf):
     """Holder distribution rebuilt as flat JSON lists (names with a byte-order mark) and parsed back."""
     g = V.table(spark, sf, "lineitem").groupBy(
@@ -119,10 +120,11 @@ def distribution_records(spark, sf):
 @query("vendor_ticks", """SELECT user_id AS symbol, event_id AS seq, 100 + value AS price, CASE event_id % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side,
  CASE WHEN event_id % 5 <> 0 THEN value END AS bid_price FROM events""")
 def vendor_ticks(spark, sf):
-    """Parallel vendor arrays back to trades: one delivery holds all trades of a user and day, in order of arrival."""
+    """Parallel vendor arrays back to trades: deliveries hold trades of a user and day, each in order of arrival."""
     e = V.table(spark, sf, "events")
     trade = F.struct("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts"), F.col("value").alias("v"))
-    day = e.groupBy("user_id", F.to_date("ts").alias("data_date")).agg(F.sort_array(F.collect_list(trade)).alias("x"))
+    e = in_blocks(e.withColumn("data_date", F.to_date("ts")), ["user_id", "data_date"], "event_id")
+    day = e.groupBy("user_id", "data_date", "block").agg(F.sort_array(F.collect_list(trade)).alias("x"))
     arrays = day.select(
         F.col("user_id").alias("symbol"), "data_date", F.col("x.ts").alias("ts"), F.transform("x", lambda t: t["v"] + 100).alias("close"),
         F.col("x.event_id").alias("volume"), F.transform("x", lambda t: F.when(t["event_id"] % 5 != 0, t["v"])).alias("bid_price"),

@@ -8,15 +8,16 @@ from tapeworks.functions.numbers import rounded
 from tapeworks.sources import reports as rep
 
 #: The jobs round factors to 8 digits; both sides are compared at 6.
-#: One order is one report line: customer as code, day, and numbers from the keys. Codes of more than four digits
-#: are outside the universe on both sides.
-_O = """o AS (SELECT CAST(o_custkey + 1000 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_custkey AS c,
- o_orderkey % 100000 - 50000 AS a FROM orders WHERE length(CAST(o_custkey + 1000 AS VARCHAR)) = 4)"""
+#: One order is one report line: customer as code, day, and numbers from the keys. The 9,000 four-digit codes are dealt
+#: round, so every customer is in the universe; several of them may share a code.
+_O = """o AS (SELECT CAST(1000 + o_custkey % 9000 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS d, o_orderkey AS k, o_custkey AS c,
+ o_orderkey % 100000 - 50000 AS a FROM orders)"""
+LINES = 5000  # lines of a payload, about
 
 
 def _orders(spark, sf):
     return V.table(spark, sf, "orders").select(
-        (F.col("o_custkey") + 1000).cast("string").alias("symbol"), F.to_date("o_orderdate").alias("d"),
+        (1000 + F.col("o_custkey") % 9000).cast("string").alias("symbol"), F.to_date("o_orderdate").alias("d"),
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 100000 - 50000).alias("a"))
 
 
@@ -29,9 +30,15 @@ def _roc(day, sep="/"):
     return F.concat_ws(sep, (F.year(day) - 1911).cast("string"), F.date_format(day, "MM"), F.date_format(day, "dd"))
 
 
-def _landed(rows, cells, fields, nested=False, by="d"):
-    """One payload per day with all its lines; ``nested`` puts the grid behind an empty table."""
-    days = rows.groupBy(by).agg(F.collect_list(F.array(*cells)).alias("data"))
+def in_blocks(rows, by, key):
+    """``rows`` with ``block``: a group of ``by`` with many rows is cut into blocks of about LINES, so no payload grows with it."""
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return rows.join(counts, by).withColumn("block", F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / LINES))).drop("__n")
+
+
+def _landed(rows, cells, fields, nested=False, by="d", key="k"):
+    """Payloads of a day with all its lines; ``nested`` puts the grid behind an empty table."""
+    days = in_blocks(rows, [by], key).groupBy(by, "block").agg(F.collect_list(F.array(*cells)).alias("data"))
     grid = F.struct(F.array(*map(F.lit, fields)).alias("fields"), F.col("data"))
     if nested:
         empty = F.struct(F.array(F.lit("x")).alias("fields"), F.array().cast("array<array<string>>").alias("data"))
@@ -178,19 +185,20 @@ def job_futures(spark, sf):
     return t.select("contract", "contract_month", "data_date", "open", "close", rounded(F.col("change_pct"), 5).alias("change_pct"), "volume", "open_interest")
 
 
-@query("job_profiles", """SELECT CAST(s_suppkey + 1000 AS VARCHAR) AS symbol, CASE s_suppkey % 4 WHEN 0 THEN '半導體' WHEN 1 THEN '水泥' WHEN 2 THEN '98' END AS industry,
+@query("job_profiles", """SELECT CAST(1000 + s_suppkey % 9000 AS VARCHAR) AS symbol, CASE s_suppkey % 4 WHEN 0 THEN '半導體' WHEN 1 THEN '水泥' WHEN 2 THEN '98' END AS industry,
  CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 1000 END AS shares_outstanding, CASE WHEN s_suppkey % 3 <> 0 THEN 'https://www.s' || s_suppkey || '.com/A' END AS website
-FROM supplier WHERE length(CAST(s_suppkey + 1000 AS VARCHAR)) = 4""")
+FROM supplier""")
 def job_profiles(spark, sf):
     k = F.col("s_suppkey")
     code = F.when(k % 4 == 0, "24").when(k % 4 == 1, "1").when(k % 4 == 2, "98").otherwise("")
     web = F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit(" WWW.S"), k.cast("string"), F.lit(".com:80/A?x=1")))
     shares = F.when(k % 5 == 0, "x").otherwise(F.format_number(k * 1000, 0))
-    symbol = F.concat((k + 1000).cast("string"), F.lit(" "))
+    symbol = F.concat((1000 + k % 9000).cast("string"), F.lit(" "))
     rec = lambda names: F.create_map(F.lit(names[0]), symbol, F.lit(names[1]), code, F.lit(names[2]), shares, F.lit(names[3]), web)
     first = rec(["公司代號", "產業別", "已發行普通股數或TDR原股發行股數", "網址"])
     second = rec(["SecuritiesCompanyCode", "SecuritiesIndustryCode", "IssueShares", "WebAddress"])
-    lists = V.table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(F.when(k % 2 == 0, first).otherwise(second))).alias("payload"))
+    suppliers = in_blocks(V.table(spark, sf, "supplier"), ["s_nationkey"], "s_suppkey")
+    lists = suppliers.groupBy("s_nationkey", "block").agg(F.to_json(F.collect_list(F.when(k % 2 == 0, first).otherwise(second))).alias("payload"))
     t = rep.profiles(lists.select("payload"))
     return t.select("symbol", F.nullif("industry", F.lit("")).alias("industry"), "shares_outstanding", "website")
 
@@ -198,9 +206,9 @@ def job_profiles(spark, sf):
 @query("job_quotes", """SELECT user_id AS symbol, date_trunc('second', ts) AS ts, CASE WHEN event_id % 4 <> 0 THEN value ELSE value + 1 END AS open, value + 1 AS close,
  CASE WHEN event_id % 5 <> 0 THEN event_id ELSE 0 END AS volume FROM events WHERE event_id % 6 <> 0""")
 def job_quotes(spark, sf):
-    """All quotes of a user in one answer of parallel arrays."""
+    """Quotes of a user in answers of parallel arrays."""
     e = V.table(spark, sf, "events").select("user_id", "event_id", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    day = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "value"))).alias("x"))
+    day = in_blocks(e, ["user_id"], "event_id").groupBy("user_id", "block").agg(F.sort_array(F.collect_list(F.struct("t", "event_id", "value"))).alias("x"))
     each = lambda f: F.transform("x", f)
     quote = F.struct(
         each(lambda x: F.when(x["event_id"] % 4 != 0, x["value"])).alias("open"), each(lambda x: F.lit(None).cast("double")).alias("high"),

@@ -104,40 +104,27 @@ def orderflow_score(spark, sf):
 
 
 @query("intraday_cross_z", WV("ticks") + f""", {_FLOW},
-q AS (SELECT data_date, quantile_cont(net_aggressor, 0.01) AS lo, quantile_cont(net_aggressor, 0.99) AS hi FROM fl GROUP BY 1),
-c AS (SELECT symbol, data_date, greatest(lo, least(hi, net_aggressor)) AS v FROM fl JOIN q USING (data_date)),
-m AS (SELECT data_date, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM c GROUP BY 1)
-SELECT symbol, data_date, {R("greatest(-5, least(5, (v - m) / s))", 5)} AS cvd_z FROM c JOIN m USING (data_date) WHERE n >= 2""")
+u AS (SELECT symbol, data_date, unnest(['cvd', 'large_trade_delta', 'absorption', 'trade_speed', 'price_efficiency']) AS factor,
+  unnest([net_aggressor, large_net, absorption, speed, eff]) AS x FROM fl),
+q AS (SELECT data_date, factor, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM u GROUP BY ALL),
+c AS (SELECT symbol, data_date, factor, greatest(lo, least(hi, x)) AS v FROM u JOIN q USING (data_date, factor)),
+m AS (SELECT data_date, factor, avg(v) AS m, stddev_pop(v) AS s, count(*) AS n FROM c GROUP BY ALL)
+SELECT symbol, data_date, factor, {R("CASE WHEN n < 2 THEN NULL WHEN s < 1e-12 THEN 0 ELSE greatest(-5, least(5, (v - m) / s)) END", 5)} AS z FROM c JOIN m USING (data_date, factor)""")
 def intraday_cross_z(spark, sf):
     s = ticks.intraday_signals(ticks.order_flow(V.ticks(spark, sf), CFG))
     long = cross_section.melt(s, ["symbol", "data_date"], ["cvd", "large_trade_delta", "absorption", "trade_speed", "price_efficiency"])
     z = cross_section.winsor_z(materialise(long), ["data_date", "factor"], "value", "z")
-    return z.where("factor = 'cvd'").select("symbol", "data_date", _r("cvd_z", F.col("z"), 5))
-
-
-@query("price_cvd_divergence", WV("ticks") + f""", {_MIN}
-SELECT symbol, data_date, CASE WHEN count(*) < 2 THEN 0 WHEN arg_max(close, minute) > arg_min(close, minute) AND NOT arg_max(cvd, minute) > arg_min(cvd, minute) THEN -1
- WHEN NOT arg_max(close, minute) > arg_min(close, minute) AND arg_max(cvd, minute) > arg_min(cvd, minute) THEN 1 ELSE 0 END AS divergence FROM mc GROUP BY 1, 2""")
-def price_cvd_divergence(spark, sf):
-    return ticks.price_delta_divergence(ticks.minute_bars(V.ticks(spark, sf)), ["symbol", "data_date"])
-
-
-@query("book_imbalance", f"""WITH s AS (SELECT vec_id, list_sum(list_transform(embedding[1:32], lambda x: abs(x::DOUBLE))) AS b,
- list_sum(list_transform(embedding[33:64], lambda x: abs(x::DOUBLE))) AS a FROM embeddings)
-SELECT vec_id, {R("CASE WHEN a + b = 0 THEN 0 ELSE (b - a) / (b + a) END", 5)} AS imbalance FROM s""")
-def book_imbalance(spark, sf):
-    depth = F.transform("embedding", lambda x: F.abs(x.cast("double")))
-    return V.table(spark, sf, "embeddings").select("vec_id", _r("imbalance", ticks.book_imbalance(
-        F.slice(depth, 1, 32), F.slice(depth, 33, 32)), 5))
+    return z.select("symbol", "data_date", "factor", _r("z", F.col("z"), 5))
 
 
 @query("trade_rates", WV("ticks") + f""", {_MIN}
-SELECT symbol, minute, {R("trades / 60.0::DOUBLE", 6)} AS trades_per_sec, {R("volume / 60.0::DOUBLE", 6)} AS volume_per_sec FROM mb""")
+SELECT mb.symbol, minute, {R("trades / 60.0::DOUBLE", 6)} AS trades_per_sec, {R("mb.volume / 60.0::DOUBLE", 6)} AS volume_per_sec,
+ {R("sum(price * t.volume) / 60.0::DOUBLE", 4)} AS value_per_sec FROM mb JOIN ticks t ON t.symbol = mb.symbol AND date_trunc('minute', t.ts) = minute GROUP BY mb.symbol, minute, trades, mb.volume""")
 def trade_rates(spark, sf):
     b = ticks.minute_bars(V.ticks(spark, sf))
     rates = ticks.trade_rates(F.col("trades"), F.col("volume"), F.col("turnover"), F.lit(60))
     b = b.select("symbol", "minute", *rates)
-    return b.select("symbol", "minute", *[_r(c, F.col(c), 6) for c in ("trades_per_sec", "volume_per_sec")])
+    return b.select("symbol", "minute", *[_r(c, F.col(c), n) for c, n in (("trades_per_sec", 6), ("volume_per_sec", 6), ("value_per_sec", 4))])
 
 
 @query("tick_dedupe", WV("ticks") + """

@@ -93,12 +93,10 @@ def divergence_series(spark, sf):
 
 
 @query("price_flow_correlation", WV("bars", "flows", "actions") + f""", {_PANEL}, {_DIV}
-SELECT symbol, data_date, {R("cor", 4)} AS corr FROM ds WHERE pts = 60""")
+SELECT symbol, data_date, {R("cor", 4)} AS corr FROM ds""")
 def price_flow_correlation(spark, sf):
     d = flows.divergence(_panel(spark, sf), 60, CFG["divergence"], volume="volume_lots")
-    from tapeworks.operators import rolling
-    d = d.withColumn("k", rolling.rows_in(rolling.series(), 60))
-    return d.where("k = 60").select("symbol", "data_date", _r("corr", F.col("price_flow_corr"), 4))
+    return d.select("symbol", "data_date", _r("corr", F.col("price_flow_corr"), 4))
 
 
 _COST = """cs AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY data_date) AS k FROM pan),

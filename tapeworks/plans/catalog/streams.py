@@ -147,7 +147,7 @@ dp AS (SELECT symbol, date_trunc('minute', ts) AS start, avg(CASE WHEN bs + ks =
 SELECT CAST(symbol AS VARCHAR) AS symbol, start AS bucket, open, high, low, close, volume, bv AS buy_volume, sv AS sell_volume, delta, cvd::BIGINT AS cvd, trades AS trade_count,
  {R("volume::DOUBLE / trades", 4)} AS avg_trade_size, {R("2 * pow(1.01::DOUBLE / 0.99::DOUBLE, l.step) / (1.01::DOUBLE / 0.99::DOUBLE + 1)", 4)} AS large_limit, coalesce(lb, 0)::BIGINT AS large_buy_volume,
  coalesce(ls, 0)::BIGINT AS large_sell_volume, (coalesce(lb, 0) - coalesce(ls, 0))::BIGINT AS large_trade_delta, {R("obi", 5)} AS obi,
- {R("CASE WHEN delta < 0 AND ret >= 0 THEN score ELSE 0 END", 4)} AS sell_absorption_score, {R("CASE WHEN delta > 0 AND ret <= 0 THEN score ELSE 0 END", 4)} AS buy_absorption_score,
+ {R("CASE WHEN delta < 0 AND rz >= 0 THEN score ELSE 0 END", 4)} AS sell_absorption_score, {R("CASE WHEN delta > 0 AND rz <= 0 THEN score ELSE 0 END", 4)} AS buy_absorption_score,
  {R("trades / 60.0::DOUBLE", 6)} AS trade_speed, {R("turnover / volume", 4)} AS vwap FROM b4 JOIN l USING (symbol, start) JOIN g USING (symbol, start) LEFT JOIN dp USING (symbol, start)""")
 def stream_feature_bars(spark, sf):
     """Trades and depth as two streams; a tenth of the rows come a batch late, within the watermark."""

@@ -206,13 +206,10 @@ def rolling_quantile(spark, sf):
 
 @query("rolling_z", WV("bars") + f"""
 SELECT symbol, data_date, {R("CASE WHEN count(volume) OVER w < 2 THEN 0 ELSE (volume - avg(volume) OVER w) / (stddev_pop(volume) OVER w + 1e-9) END", 3)} AS z FROM
-(SELECT symbol, data_date, volume FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY data_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)
-QUALIFY coalesce(stddev_pop(volume) OVER w, 1) > 0""")
+(SELECT symbol, data_date, volume FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY data_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)""")
 def rolling_z(spark, sf):
-    w = rolling.series()
-    b = V.bars(spark, sf).withColumn("z", rolling.rolling_z("volume", 60, w)).withColumn(
-        "sd", F.stddev_pop("volume").over(w.rowsBetween(-60, -1)))
-    return b.where("coalesce(sd, 1) > 0").select("symbol", "data_date", _r("z", F.col("z"), 3))
+    """A constant history gives the distance to it in units of 1e-9."""
+    return V.bars(spark, sf).select("symbol", "data_date", _r("z", rolling.rolling_z("volume", 60, rolling.series()), 3))
 
 
 @query("rolling_rank", WV("bars") + f"""

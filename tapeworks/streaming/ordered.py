@@ -239,8 +239,8 @@ class _Features(InOrder):
             "avg_trade_size": volume / rows["trades"], "large_step": np.where(known, sizes[at], -1),
             "large_buy_volume": large["bought"], "large_sell_volume": large["sold"],
             "large_trade_delta": large["bought"] - large["sold"], "obi": rows["obi"],
-            "sell_absorption_score": np.where((delta < 0) & (ret >= 0), score, 0.0),
-            "buy_absorption_score": np.where((delta > 0) & (ret <= 0), score, 0.0),
+            "sell_absorption_score": np.where((delta < 0) & (rz >= 0), score, 0.0),
+            "buy_absorption_score": np.where((delta > 0) & (rz <= 0), score, 0.0),
             "trade_speed": rows["trades"] / self.seconds, "vwap": rows["turnover"] / volume})
         kept = (int(run[-1]), float(close[-1]), int(n[-1]), *(float(s[-1]) for s in sums), sizes.tolist(), so_far[-1].tolist())
         return out, kept
