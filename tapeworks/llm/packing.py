@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,13 +12,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import arrow_udf
 
+from tapeworks.llm.words import release, text_chunks
 from tapeworks.session import materialise
 
 END = 2
 GROUP = 1 << 13  # pieces that are packed together
-CACHE = 1 << 18  # chunks of text whose ids a worker remembers
+CACHE = 1 << 23  # bytes of chunks of text and their ids that a worker remembers
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -37,16 +38,20 @@ class Capacity:
 
 
 class _Ids(dict):
-    """Ids of a chunk of text as little-endian bytes, computed on first sight."""
+    """Ids of a chunk of text as little-endian bytes, computed on first sight and remembered while there is room."""
 
-    def __init__(self, encoding) -> None:
+    def __init__(self, encoding, added: dict[str, int]) -> None:
         super().__init__()
-        self.encoding = encoding
+        self.encoding, self.room = encoding, CACHE
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(longest)})").split if added else None
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encoding.encode_ordinary(chunk), "<u4").tobytes()
-        if len(self) < CACHE:
+        if self.room > 0:
             self[chunk] = ids
+            self.room -= len(chunk) + len(ids)
         return ids
 
 
@@ -54,8 +59,8 @@ class _Ids(dict):
 def _tokenizer(path: str) -> _Ids:
     """The byte-level merges of a tokenizer file, run by rank, which gives the same ids several times as fast.
 
-    The file's own pattern decides where merges stop. A text falls apart before every space that follows a visible
-    character, so chunks of it can be remembered.
+    The file's own pattern decides where merges stop. A text falls apart at the file's added tokens, which have ids of
+    their own, and before every space that follows a visible character, so chunks of it can be remembered.
     """
     import tiktoken
     from public_tokenizers import PATTERN
@@ -65,35 +70,61 @@ def _tokenizer(path: str) -> _Ids:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
     byte.update({chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))})
-    added = {t["content"] for t in spec.get("added_tokens", [])}
+    tokens = spec.get("added_tokens", [])
+    if any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take blanks with them are not supported")
+    added = {t["content"]: t["id"] for t in tokens}
     ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in added}
-    return _Ids(tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return _Ids(tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), added)
+
+
+def _plain_bytes(text: str, ids: _Ids) -> bytes:
+    if _ODD.search(text):  # control characters on which two meanings of "space" differ
+        return np.array(ids.encoding.encode_ordinary(text), "<u4").tobytes()
+    return b"".join(map(ids.__getitem__, _PIECE.findall(text)))
 
 
 def token_bytes(text: str, ids: _Ids) -> bytes:
     """Ids of the text, then the end id, as little-endian 32-bit values."""
     tail = np.array([END], "<u4").tobytes()
-    if _ODD.search(text):  # control characters on which two meanings of "space" differ
-        return np.array(ids.encoding.encode_ordinary(text), "<u4").tobytes() + tail
-    return b"".join(map(ids.__getitem__, _PIECE.findall(text))) + tail
+    if ids.split is None:
+        return _plain_bytes(text, ids) + tail
+    return b"".join(ids.added.get(part) or _plain_bytes(part, ids) for part in ids.split(text)) + tail
 
 
 def pieces(docs: DataFrame, tokenizer: str, tokens: int = 1024) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32), at most ``tokens`` ids each; a longer document has a shorter first piece."""
-    @arrow_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
-    def cut(texts: pa.Array) -> pa.Array:
-        ids, out = _tokenizer(tokenizer), []
-        for text in texts:
-            data = token_bytes(text.as_py() or "", ids)
-            n = len(data) // 4
-            first = n % tokens or tokens
-            bounds = [0, *range(first, n + 1, tokens)]
-            out.append([{"piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(data[4 * a:4 * b])}
-                        for k, (a, b) in enumerate(zip(bounds, bounds[1:]))])
-        return pa.array(out, pa.list_(pa.struct({"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(),
-                                                 "ids_crc32": pa.int64()})))
-
-    return docs.select("doc_id", F.explode(cut("text")).alias("p")).select("doc_id", "p.*")
+    """(doc_id, piece, start, length, ids_crc32), at most ``tokens`` ids each; a longer document has a shorter first piece.
+
+    Texts are taken in stretches of bounded size (a longer text is one of its own), and each stretch's pieces leave as
+    flat columns, so a task holds little beside its Arrow batch.
+    """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what this worker's earlier tasks kept
+        ids = _tokenizer(tokenizer)
+        for batch in batches:
+            doc_ids = batch.column(0)
+            for row, raw, off in text_chunks(batch.column(1)):
+                counts, first, crc = [], [], []
+                for a, b in zip(off, off[1:]):
+                    data = token_bytes(raw[a:b].tobytes().decode(), ids)
+                    n = len(data) // 4
+                    cuts = [0, *range(n % tokens or tokens, n + 1, tokens)]
+                    counts.append(len(cuts) - 1), first.extend(cuts)
+                    crc.extend(zlib.crc32(data[4 * x:4 * y]) for x, y in zip(cuts, cuts[1:]))
+                counts, first = np.array(counts), np.array(first)
+                ends = np.cumsum(counts + 1) - 1  # each text's last bound
+                start = np.delete(first, ends)
+                length = np.delete(np.append(first[1:], 0) - first, ends)
+                owner = np.repeat(np.arange(len(counts)), counts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.take(pa.array(row + owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length),
+                     pa.array(np.array(crc, np.int64))], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,12 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def release() -> None:
+    """Let go of the tables that earlier texts needed, and of Arrow's unused memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def text_chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows with at most ``limit`` bytes, or one longer row; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

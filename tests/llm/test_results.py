@@ -221,10 +221,9 @@ def test_packing_round_trip(make):
     from tokenizers import Tokenizer
 
     rng = random.Random(2)
-    odd = ["a  b", "x \n y", "\n\n\n z", " lead", "trail ", "it's  we'll\t\tgo", "1234 56,7!?", "é   ü", "a\x1cb \x1d c", "<|endoftext|>", "日本 語", "\r\n \r\n"]
+    odd = ["a  b", "x \n y", "\n\n\n z", " lead", "trail ", "it's  we'll\t\tgo", "1234 56,7!?", "é   ü", "a\x1cb \x1d c", "<|endoftext|>", "x<|endoftext|><|endoftext|>y <|endoftext", "日本 語", "\r\n \r\n"]
     rows = [(k, " ".join(rng.choice([*odd, prose(rng, 3)]) for _ in range(rng.choice([1, 3, 10, 400])))) for k in range(150)] + [(900, None), (901, "")]
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
     got = packing.pack(make(rows), packing.default_tokenizer()).collect()
     parts, bins = defaultdict(list), defaultdict(list)
