@@ -37,24 +37,23 @@ def best_per_key(df: DataFrame, keys: Sequence[str], score: str, *tie: str) -> D
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str],
-              time: str = "data_date", chunk: Column | None = None,
+              time: str = "data_date", cut: bool = False,
               right_time: str = "asof_date") -> DataFrame:
     """``left`` plus the latest ``right`` row at or before its time.
 
-    Union and carry-forward, so nothing is compared pairwise. ``chunk`` (non-decreasing in
-    ``time``) keeps unbounded histories out of one task.
+    Union and carry-forward, so nothing is compared pairwise. ``cut`` keeps unbounded histories out
+    of one task: the union is cut into ranges of the order.
     """
     keys = list(keys)
     payload = F.struct(F.col(time).alias(right_time), *values)
     rows = left.withColumn("_side", F.lit(1)).unionByName(
         right.select(*keys, time, F.lit(0).alias("_side"), payload.alias("_hit")),
         allowMissingColumns=True)
-    if chunk is None:
+    if not cut:
         w = Window.partitionBy(*keys).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn("_last", F.last("_hit", ignorenulls=True).over(w))
     else:
-        rows = prefix.last_known(rows.withColumn("_chunk", chunk), keys, ["_chunk"],
-                                 [time, "_side"], "_hit", "_last").drop("_chunk")
+        rows = prefix.last_known(rows, keys, None, [time, "_side"], "_hit", "_last")
     return rows.where(F.col("_side") == 1).select(
         *left.columns, F.col(f"_last.{right_time}").alias(right_time),
         *[F.col(f"_last.{v}").alias(v) for v in values])
@@ -81,10 +80,10 @@ def by_source_priority(tables: Sequence[DataFrame], keys: Sequence[str]) -> Data
 
 
 def occurrence_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      chunk: Sequence[str] = (), out: str = "row_seq") -> DataFrame:
-    """0-based number of each repeat of a key, in source order."""
-    if chunk:
-        return prefix.running_sum(df, keys, chunk, order, F.lit(1), out).withColumn(
+                      cut: bool = False, out: str = "row_seq") -> DataFrame:
+    """0-based number of each repeat of a key, in source order; ``cut`` for keys of unbounded size."""
+    if cut:
+        return prefix.running_sum(df, keys, None, order, F.lit(1), out).withColumn(
             out, (F.col(out) - 1).cast("int"))
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w) - 1)

@@ -34,18 +34,15 @@ def quote_side(price: Column, bid: Column, ask: Column, prev_price: Column) -> C
 
 
 def classify_side(ticks: DataFrame, out: str = "side") -> DataFrame:
-    """Aggressor side of every trade; the previous price is found minute by minute."""
-    t = ticks.withColumn("_minute", F.date_trunc("minute", "ts"))
-    t = prefix.previous_value(t, DAY, ["_minute"], ["ts", "seq"], "price", "_prev")
+    """Aggressor side of every trade; the previous price is found range by range, however busy a minute is."""
+    t = prefix.previous_value(ticks, DAY, None, ["ts", "seq"], "price", "_prev")
     return t.withColumn(out, quote_side(
-        F.col("price"), F.col("bid_price"), F.col("ask_price"), F.col("_prev"))).drop("_minute", "_prev")
+        F.col("price"), F.col("bid_price"), F.col("ask_price"), F.col("_prev"))).drop("_prev")
 
 
 def running_delta(ticks: DataFrame, out: str = "cvd") -> DataFrame:
     """Cumulative signed volume after every trade of the day."""
-    t = ticks.withColumn("_minute", F.date_trunc("minute", "ts"))
-    return prefix.running_sum(t, DAY, ["_minute"], ["ts", "seq"],
-                              F.col("side") * F.col("volume"), out).drop("_minute")
+    return prefix.running_sum(ticks, DAY, None, ["ts", "seq"], F.col("side") * F.col("volume"), out)
 
 
 def minute_bars(ticks: DataFrame) -> DataFrame:

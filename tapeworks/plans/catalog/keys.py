@@ -184,7 +184,7 @@ def asof_join_chunked(spark, sf):
     t = V.ticks(spark, sf)
     quotes = t.where("side = 1").select("symbol", "ts", F.col("price").alias("quote"))
     return joins.asof_join(t.where("side = -1").select("symbol", "ts", "seq"), quotes, ["symbol"], ["quote"], time="ts",
-                           chunk=F.date_trunc("hour", "ts"), right_time="quote_ts").select(
+                           cut=True, right_time="quote_ts").select(
         "symbol", "seq", "quote_ts", rounded(F.col("quote"), 2).alias("quote"))
 
 
@@ -237,9 +237,8 @@ def market_context_join(spark, sf):
  PARTITION BY l_suppkey, l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS INT) AS row_seq
  FROM lineitem""")
 def row_sequence(spark, sf):
-    li = V.table(spark, sf, "lineitem").withColumn("_w", F.date_trunc("week", "l_shipdate"))
-    return joins.occurrence_number(li, ["l_suppkey", "l_returnflag"], [
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], chunk=["_w"]).select(
+    return joins.occurrence_number(V.table(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag"], [
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"], cut=True).select(
         "l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "row_seq")
 
 

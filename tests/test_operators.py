@@ -70,8 +70,8 @@ def test_chunked_sequences_equal_plain_ones(spark):
     rows = [("s", i // 7, i, rng.choice([None, rng.uniform(-1, 1)])) for i in range(100)]
     df = spark.createDataFrame(rows, "k string, c int, i int, v double")
     run = {r["i"]: r["o"] for r in prefix.running_sum(df, ["k"], ["c"], ["i"], F.col("v"), "o").collect()}
-    prev = {r["i"]: r["o"] for r in prefix.previous_value(df, ["k"], ["c"], ["i"], "v", "o").collect()}
-    last = {r["i"]: r["o"] for r in prefix.last_known(df, ["k"], ["c"], ["i"], "v", "o").collect()}
+    prev = {r["i"]: r["o"] for r in prefix.previous_value(df, ["k"], None, ["i"], "v", "o").collect()}
+    last = {r["i"]: r["o"] for r in prefix.last_known(prefix.range_cut(df, ["k"], ["i"], 5), ["k"], ["_cut"], ["i"], "v", "o").collect()}
     total, known, peak, fall = 0.0, None, None, 0.0
     for _, _, i, v in rows:
         total += v or 0.0
@@ -86,6 +86,27 @@ def test_chunked_sequences_equal_plain_ones(spark):
     assert dd == pytest.approx(fall)
 
 
+def test_a_crowded_minute_is_spread(spark):
+    """All trades of one symbol within one minute: many chunks, results as without any."""
+    n = 40_000
+    t = spark.range(0, n, 1, 7).select(
+        F.lit("s").alias("symbol"), F.lit("2024-01-02").cast("date").alias("data_date"),
+        F.timestamp_micros(F.lit(1_704_186_000_000_000) + F.col("id") % 1000).alias("ts"), F.col("id").alias("seq"),
+        (100 + F.col("id") * 7919 % 13).cast("double").alias("price"), (1 + F.col("id") % 5).alias("volume"),
+        (F.col("id") % 3 - 1).alias("side"), F.lit(None).cast("double").alias("bid_price"), F.lit(None).cast("double").alias("ask_price"))
+    cut = prefix.range_cut(t, ["symbol", "data_date"], ["ts", "seq"], pieces=8)
+    sizes = [r["count"] for r in cut.groupBy("_cut").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * n / 8
+    order = sorted(range(n), key=lambda i: (i % 1000, i))
+    price = [100.0 + i * 7919 % 13 for i in order]
+    delta = np.cumsum([(i % 3 - 1) * (1 + i % 5) for i in order])
+    run = {r["seq"]: r["cvd"] for r in prefix.running_sum(
+        cut, ["symbol", "data_date"], ["_cut"], ["ts", "seq"], F.col("side") * F.col("volume"), "cvd").collect()}
+    assert [run[i] for i in order] == delta.tolist()
+    side = {r["seq"]: r["out"] for r in ticks.classify_side(t, "out").collect()}
+    assert [side[i] for i in order] == [0, *np.sign(np.diff(price)).astype(int).tolist()]
+
+
 def test_back_adjust_and_point_in_time_scale(spark):
     bars = spark.createDataFrame([("a", d, 100.0 if i < 2 else 90.0, 10.0) for i, d in enumerate(days(4))],
                                  "symbol string, data_date date, close double, volume double")
