@@ -113,3 +113,10 @@ def round_trip_cost(costs: Mapping[str, float]) -> float:
 def rounded(c: Column, digits: int) -> Column:
     """Half-up rounding that is stable against binary noise: through a 10-digit decimal."""
     return F.round(c.cast("decimal(28,10)"), digits).cast("double")
+
+
+def short_text(value: Column) -> Column:
+    """A price as text: six significant digits, no trailing zeros (below a million)."""
+    size = F.abs(value)
+    digits = F.when(size < 1e4, F.round(value, 2)).when(size < 1e5, F.round(value, 1)).otherwise(F.round(value, 0))
+    return F.regexp_replace(digits.cast("string"), r"\.0$", "")

@@ -74,9 +74,10 @@ def html_rows(spark, sf):
     return h.select("page_id", "pos", F.get("cells", F.lit(0)).alias("cell"))
 
 
-@query("html_paragraphs")
+@query("html_paragraphs", """SELECT page_id, CAST(len(regexp_extract_all(x, '(?s)<p>(.*?)</p>', 1)) AS INT) AS paragraphs
+FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<article>(.*?)</article>', 1)) AS x FROM pages)""")
 def html_paragraphs(spark, sf):
-    """Paragraph cells per page (entity and whitespace handling differs between regex engines)."""
+    """Paragraph cells per article of a page."""
     h = rep.html_rows(V.table(spark, sf, "pages"), "html", ["page_id"], r"(?s)<article>(.*?)</article>", r"(?s)<p>(.*?)</p>")
     return h.select("page_id", F.size("cells").alias("paragraphs"))
 

@@ -8,6 +8,7 @@ from tapeworks.operators import ticks as tk
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
 from tapeworks.session import shared_folder
+from tapeworks.sources import landing
 from tapeworks.streaming import bars as st
 from tapeworks.streaming import ordered, replay
 from tapeworks.streaming.ledger import TickLedger
@@ -213,7 +214,19 @@ def coverage_maintained(spark, sf):
     return ledger.daily(20).select("*", *(span.select(c).scalar().alias(c) for c in ("days", "first_date", "rows")))
 
 
-@query("stream_latency")
+@query("ticks_replaced", WV("ticks") + f"""SELECT symbol, seq, data_date, {R("price + CASE WHEN seq % 10 = 0 THEN 1 ELSE 0 END", 2)} AS price, volume FROM ticks""")
+def ticks_replaced(spark, sf):
+    """Trades by date, merged batch by batch; a tenth of them is corrected by a later delivery."""
+    t = V.ticks(spark, sf)
+    delivered = t.withColumn("correction", F.explode(F.when(F.col("seq") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    delivered = delivered.withColumn("price", F.col("price") + F.col("correction"))
+    stream, path = _replayed(spark, delivered, _period(t, 10) + F.col("correction")), f"{_folder(spark)}/ticks"
+    landing.replace_day_stream(stream, path, _folder(spark), ["symbol", "seq"], seq="correction").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(delivered.schema).parquet(path)
+    return out.select("symbol", "seq", "data_date", rounded(F.col("price"), 2).alias("price"), "volume")
+
+
+@query("stream_latency", WV("ticks") + "SELECT symbol, seq, true AS arrived FROM ticks")
 def stream_latency(spark, sf):
     """Arrival delays of the shadow table (depends on the wall clock)."""
     rows = st.with_latency(st.tick_rows(_source(spark, sf))).select("symbol", "seq", (F.col("latency_ms") >= 0).alias("arrived"))

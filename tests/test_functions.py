@@ -56,3 +56,10 @@ def test_costs_and_version(spark):
     assert version_of(settings()) == version_of(settings())
     assert version_of(settings({"signal": {"buy": 80.0}})) != version_of(settings())
     assert len(version_of(settings())) == 12
+
+
+def test_prices_as_short_text(spark):
+    from tapeworks.functions.numbers import short_text
+    values = [12.0, 12.5, 0.25, 99.99, 1234.56, 12345.67, 123456.7, -3.1]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(short_text(F.col("v")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [f"{v:g}" for v in values]
