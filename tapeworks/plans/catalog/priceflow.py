@@ -1,14 +1,17 @@
 """Adjustment, divergence, cost, panel, regime and feature queries."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeworks.config import settings
 from tapeworks.functions.numbers import rounded
 from tapeworks.operators import adjust, flows
 from tapeworks.plans import features as feat
-from tapeworks.plans import regime, reports
+from tapeworks.plans import maintain, regime, reports
 from tapeworks.plans import views as V
 from tapeworks.plans.catalog.registry import R, query
-from tapeworks.session import materialise
+from tapeworks.session import materialise, shared_folder
+from tapeworks.sources.versions import VersionedDays
 
 WV = V.with_views
 _BY = "(PARTITION BY symbol ORDER BY data_date)"
@@ -55,17 +58,43 @@ pf AS (SELECT symbol, data_date, close, turnover, volume,
   high = low AND low = close AS flat FROM n2 WINDOW w AS (PARTITION BY symbol ORDER BY data_date))"""
 
 
-@query("price_features", WV("bars", "actions") + f""", {_PIT}
+_PRICE_SQL = WV("bars", "actions") + f""", {_PIT}
 SELECT symbol, data_date, {R("chg", 6)} AS change_pct, {R("atr14", 4)} AS atr14, {R("ma20", 4)} AS ma20, {R("swing", 4)} AS recent_swing_low,
  {R("res", 4)} AS resistance_high, {R("(close - ma20) / ma20", 6)} AS close_vs_ma20_pct, {R("av", 3)} AS avg_volume, {R("ret5", 6)} AS ret5,
- CASE WHEN chg IS NOT NULL THEN chg >= 0.095 AND flat END AS is_limit_locked FROM pf""")
-def price_features(spark, sf):
-    p = feat.price_features(V.bars(spark, sf), V.actions(spark, sf), CFG)
+ CASE WHEN chg IS NOT NULL THEN chg >= 0.095 AND flat END AS is_limit_locked FROM pf"""
+
+
+def _price_columns(p):
     return p.select("symbol", "data_date", _r("change_pct", F.col("change_pct"), 6), *[
         F.col(c) for c in ("atr14", "ma20", "recent_swing_low", "resistance_high")],
         _r("close_vs_ma20_pct", F.col("close_vs_ma20_pct"), 6), _r("avg_volume", F.col("avg_volume"), 3), _r("ret5", F.col("ret5"), 6), "is_limit_locked")
 
 
+@query("price_features", _PRICE_SQL)
+def price_features(spark, sf):
+    return _price_columns(feat.price_features(V.bars(spark, sf), V.actions(spark, sf), CFG))
+
+
+@query("price_features_maintained", _PRICE_SQL)
+def price_features_maintained(spark, sf):
+    """Built once from facts of which a tenth of the symbols had wrong and missing rows in 1997; then only what the
+    corrected facts reach is built again. Equal to the full build."""
+    base = f"{shared_folder(spark)}/tapeworks-{uuid.uuid4().hex}"
+    facts, features = (VersionedDays(spark, f"{base}/{t}", ["symbol", "data_date"]) for t in ("facts", "features"))
+    right = materialise(V.bars(spark, sf))
+    actions = materialise(V.actions(spark, sf))
+    hit = (F.col("symbol") % 10 == 3) & (F.year("data_date") == 1997)
+    wrong = right.withColumns({c: F.when(hit, F.col(c) * 1.05).otherwise(F.col(c)) for c in ("close", "high", "volume")})
+    wrong = wrong.where(~hit | (F.dayofyear("data_date") % 4 != 0))
+    build = lambda rows: feat.price_features(rows, actions.join(rows.select("symbol").distinct(), "symbol", "left_semi"), CFG)
+    facts.rewrite(wrong)
+    features.rewrite(build(facts.read()))
+    corrected = right.where(hit)
+    facts.rewrite(corrected)
+    maintain.rebuild(features, facts, corrected, CFG["features"]["ma_rows"], build)
+    return _price_columns(features.read())
+
+
 def _panel(spark, sf):
     return reports.flow_panel(V.bars(spark, sf), V.flows(spark, sf), V.actions(spark, sf), None)
 
