@@ -124,10 +124,16 @@ def with_next(rows: DataFrame, value: str) -> DataFrame:
 
 
 def stretches(docs: DataFrame) -> Column:
-    """Stretch of identifiers a document belongs to: equal ranges with NEIGHBOURS documents on average; nulls first."""
+    """Stretch of identifiers a document belongs to: equal ranges with NEIGHBOURS documents on average; nulls first.
+
+    Differences are taken as decimals, so any 64-bit identifiers will do.
+    """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     width = max(1, ((high or 0) - (low or 0) + 1) * NEIGHBOURS // max(n, 1))
-    return F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long")
+    wide = lambda v: F.lit(str(v)).cast("decimal(20,0)")
+    offset = F.col("doc_id").cast("decimal(20,0)") - wide(low or 0)
+    # ranges beyond the whole span (few documents) are one stretch
+    return F.coalesce(F.floor(offset / wide(min(width, 10**20 - 1))).cast("long"), F.lit(-1))
 
 
 def text_fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:

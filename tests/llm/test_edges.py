@@ -1,4 +1,6 @@
 """Every operator and stage on odd rows, on empty tables and with clashing column names."""
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,15 @@ def test_packing_edges(odd, odd_rows, nothing):
 def test_stages_are_listed():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "source_mixing",
                                                       "best_fit_packing"]
+
+
+def test_fingerprints_of_wide_identifiers(make):
+    """Negative, 64-bit and far-off identifiers: each document's next one is the next smaller identifier."""
+    ids = [-6 * 10**18, -5, 0, 3, 2**53 + 1, 2**53 + 2, 6 * 10**18, 2**63 - 1]
+    docs = make([(i, f"text number {k} of eight with words w{k} v{k}") for k, i in enumerate(ids)])
+    texts = {i: f"text number {k} of eight with words w{k} v{k}" for k, i in enumerate(ids)}
+    order = sorted(ids, reverse=True)
+    for r in imatch.edited_fingerprints(docs).collect():
+        own, following = texts[r.doc_id], texts[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(own) // 2
+        assert r.edited_sha256 == hashlib.sha256((own[:len(own) - half] + following[:half]).encode()).hexdigest()
