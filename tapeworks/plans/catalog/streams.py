@@ -88,6 +88,11 @@ def _replayed(spark, df, slice_of):
     return replay.stream_slices(spark, root, df.schema)
 
 
+def _state_store(spark, rows):
+    """State in as many parts as the rows call for, about a million each."""
+    return ordered.state_store(spark, 8 + rows.count() // 1_000_000)
+
+
 def _period(ticks, days):
     """Number of the period of some days that a trade falls into."""
     return F.floor(F.datediff("data_date", ticks.agg(F.min("data_date")).scalar()) / days)
@@ -107,7 +112,7 @@ def stream_running_cvd(spark, sf):
     """A tenth of the trades come a batch late, within the watermark."""
     t = _closed(V.ticks(spark, sf), "ts", 10)
     s = _replayed(spark, t, _period(t, 5) + (F.col("seq") % 10 == 3).cast("int"))
-    with ordered.state_store(spark):
+    with _state_store(spark, t):
         out = _drain(spark, ordered.running_state(st.bars(s, delay="6 days")))
     return out.select("symbol", "start", "delta", "cvd", "position", rounded(F.col("cost"), 4).alias("cost"))
 
@@ -122,7 +127,7 @@ def stream_action_changes(spark, sf):
         F.max_by("o_orderstatus", "o_orderkey").alias("action")).withColumn("chip_score", F.lit(0.0))
     s = _closed(s.withColumn("at", F.col("data_date").cast("timestamp")), "at", 2000)
     stream = _replayed(spark, s, F.year("data_date") - 1990 + (F.col("symbol") % 5 == 0).cast("int"))
-    with ordered.state_store(spark):
+    with _state_store(spark, s):
         out = _drain(spark, ordered.action_changes(stream.withWatermark("at", "800 days"), 120, ["F", "P"], "at"))
     return out.select("symbol", "data_date", "action", "prev_action")
 
@@ -157,7 +162,7 @@ def stream_feature_bars(spark, sf):
     n = F.col("seq")
     depth = s.where(n % 4 != 0).select("symbol", "ts", F.array(n % 7, n % 11).alias("bids"), F.array(n % 5, n % 13).alias("asks"))
     closing = s.where(n.isNull()).select("symbol", "ts", F.array(n).alias("bids"), F.array(n).alias("asks"))
-    with ordered.state_store(spark):
+    with _state_store(spark, t):
         b = _drain(spark, ordered.feature_bars(s, depth.union(closing), tk.book_imbalance(F.col("bids"), F.col("asks")), min_samples=20))
     digits = {"avg_trade_size": 4, "large_limit": 4, "obi": 5, "sell_absorption_score": 4, "buy_absorption_score": 4, "trade_speed": 6, "vwap": 4}
     return b.select(*[rounded(F.col(c), digits[c]).alias(c) if c in digits else c for c in b.columns if c != "data_date"])

@@ -19,21 +19,23 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 DAY_MS = 86_400_000
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
-def state_store(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside use the state store that knows timers and lists."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def state_store(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started inside use the state store that knows timers and lists, in ``partitions`` parts (the session's
+    shuffle partitions if not given). A query keeps its number for life, so choose it by the keys it will hold."""
+    wanted = {_PROVIDER: _ROCKSDB} | ({_PARTITIONS: str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class InOrder(StatefulProcessor):
