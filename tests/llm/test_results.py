@@ -308,25 +308,47 @@ def test_better_than_unigrams_on_patterned_text(make):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 10
 
 
-def brute_lines(rows, least=3):
-    keys = {}
+def brute_lines(rows):
+    """(document, line) to be dropped, by the rules as they are stated, in plain Python."""
+    lines, whole, leaves = {}, defaultdict(set), defaultdict(set)
     for i, t in rows:
         for k, ln in enumerate((t or "").split("\n")):
-            w = [b"*" if re.search(rb"[0-9@]", x) else x for x in tokens(ln)]
-            own, n = set(), len(w)
-            if n >= templates.LEAST_TOKENS:
-                own.add((n, tuple(w), None))
-            if n >= templates.FREE_TOKENS:
-                for p in range(templates.PARTS):
-                    x = templates.LEAD + (n - templates.LEAD) * p // templates.PARTS
-                    y = templates.LEAD + (n - templates.LEAD) * (p + 1) // templates.PARTS
-                    own.add((n, tuple(w[:x] + w[y:]), p))
-            keys[i, k] = own
-    docs = defaultdict(set)
-    for (i, _), own in keys.items():
-        for key in own:
-            docs[key].add(i)
-    return {(i, k) for (i, k), own in keys.items() if any(len(docs[key]) >= least and min(docs[key]) != i for key in own)}
+            w = tuple(b"*" if re.search(rb"[0-9@]", x) else x for x in tokens(ln))
+            if w:
+                lines[i, k] = w
+                whole[w].add(i)
+    for w in whole:
+        if len(w) >= 4:
+            leaves[len(w), w[:max(1, min(3, len(w) // 3))]].add(w)
+    stays = {w: min(d) for w, d in whole.items() if len(d) >= (3 if b"*" in w else 2)}
+    for (n, lead), members in leaves.items():
+        docs = sum(len(whole[w]) for w in members)
+        count = Counter()
+        for w in members:
+            for p in range(len(lead), n):
+                count[p, w[p]] += len(whole[w])
+        groups = defaultdict(set)
+        for w in members:
+            for half in (False, True):
+                keep = [p for p in range(len(lead), n) if count[p, w[p]] >= 3 and (not half or 2 * count[p, w[p]] >= docs)]
+                if 3 * (len(lead) + sum(w[p] != b"*" for p in keep)) >= 2 * n:
+                    groups[tuple((p, w[p]) for p in keep)].add(w)
+        for g in groups.values():
+            if len(g) > 1 and sum(len(whole[w]) for w in g) >= 3:
+                first = min(min(whole[w]) for w in g)
+                for w in g:
+                    stays[w] = min(first, stays.get(w, first))
+    return {(i, k) for (i, k), w in lines.items() if w in stays and stays[w] != i}
+
+
+def test_short_lines_free_fields_and_pairs_of_documents(make):
+    rng = random.Random(23)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    long = prose(rng, 60)
+    rows = [(k, f"{name()} {name()} {name()}\nRead more\nPosted by {name()} in {name()} today") for k in range(200)]
+    rows += [(300, long), (301, f"{name()}\n{long}"), (302, f"{name()} {name()}")]
+    got = {r.doc_id: r.dropped for r in templates.line_report(make(rows)).collect()}
+    assert got == {0: "", **{k: "1,2" for k in range(1, 200)}, 300: "", 301: "1", 302: ""}
 
 
 def test_lines_against_brute_force(make):
