@@ -1,15 +1,18 @@
 """Secret scan: known shapes, and a battery of randomness tests with false-discovery control by length."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tapeworks.llm.common import whole_text
+from tapeworks.llm.common import LOWER, whole_text
 from tapeworks.session import materialise
 
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_=-]{12,}"
+ONE_CASE = r"^([A-Z]?[a-z]+|[A-Z]+)$"
 LONG_HEX = r"[0-9a-f]{16,}"  # the same maximal runs as HEX, less those that are too short to count
 KINDS = ("assign", "access", "hex", "random")
 #: What readable text looks like: chance that two of its letters agree, that neighbouring characters differ in class
@@ -17,8 +20,10 @@ KINDS = ("assign", "access", "hex", "random")
 TEXT_MATCH, TEXT_TURN, TEXT_SERIAL = 0.066, 0.08, -0.15
 WEIGHTS = (1.0, 0.7, 0.4)  # of uniformity, runs and serial correlation in the combined score
 RATE = 0.001  # tolerated share of readable strings among the reported ones
-STRATA = (20, 32, 64, 128)
-LEAST_LETTERS = 16
+LETTER_WEIGHTS = (1.0, 0.5, 0.4)  # strings of one case: of unusual letters, uniformity and serial correlation
+LETTER_SPREAD = 1.5  # letters of a word hang together, so their sum spreads wider than that of independent ones
+STRATA = (12, 16, 20, 32, 64, 128)  # lengths; strings of one case have strata of their own
+BLOCK = 64
 
 
 def spans(text: Column, pattern: str, found: Column) -> Column:
@@ -26,15 +31,20 @@ def spans(text: Column, pattern: str, found: Column) -> Column:
 
     ``found`` are the matches; together with the pieces between them their lengths give the places.
     """
+    kind = "array<struct<start:int,end:int,match:string>>"
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.char_length(m).alias("len"), m.alias("match")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + x["len"]).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["len"]).alias("end"),
-                                            x["match"].alias("match")))).alias("out"))
-    all_ = F.aggregate(parts, empty, step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, all_).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    place = lambda at, x: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("end"), x["match"].alias("match"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["len"]).alias("at"), F.concat(s["out"], F.array(place(s["at"], x))).alias("out"))
+    moved = lambda out, by: F.transform(out, lambda y: F.struct((y["start"] + by).alias("start"), (y["end"] + by).alias("end"), y["match"].alias("match")))
+    # Growing arrays are copied, so places are added up in blocks first and the blocks moved to their own places.
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")),
+                                   lambda b: F.aggregate(F.slice(p, b * BLOCK + 1, F.lit(BLOCK)), none, step))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    join = lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["out"], F.array(moved(x["out"], s["at"]))).alias("out"))
+    all_ = F.get(F.transform(F.array(parts), lambda p: F.flatten(F.aggregate(blocks(p), start, join, lambda s: s["out"]))), F.lit(0))
+    return F.when(F.size(found) > 0, all_).otherwise(F.array().cast(kind))
 
 
 def _occurrences(s: Column, pattern: str) -> Column:
@@ -56,14 +66,26 @@ def alphabet(s: Column) -> Column:
     return out
 
 
-def evidence(s: Column) -> Column:
+def letter_table(docs: DataFrame) -> list[float]:
+    """Logarithms of the shares of a to z in all texts: 26 numbers, whatever the corpus."""
+    low = F.lower(whole_text())
+    row = docs.agg(*(F.sum(F.char_length(low) - F.char_length(F.replace(low, F.lit(c), F.lit("")))).alias(c) for c in LOWER)).first()
+    counts = [float(row[c] or 0) + 1.0 for c in LOWER]
+    return [math.log(n / sum(counts)) for n in counts]
+
+
+def evidence(s: Column, table: list[float]) -> Column:
     """Combined normal score against "this is readable text"; large for strings that look random in their encoding.
 
     * Uniformity: the chi-squared statistic over the inferred alphabet, compared with its mean and spread for text.
-    * Runs: changes of character class, compared with the rate of text.
+    * Runs: changes of character class, compared with the rate of text (signed root of the binomial deviance, which
+      holds for short strings too).
     * Serial correlation of vowels with their neighbours, which alternate in text.
+    * Strings of one case have no classes to change: the likelihood of their letters in the corpus takes the runs' place.
+
+    Strings without two letters or digits score as text.
     """
-    n = F.char_length(s).cast("double")
+    n = F.greatest(F.char_length(s), F.lit(2)).cast("double")
     a = alphabet(s).cast("double")
     squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0),
                           lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(s, c, F.lit(""))), F.lit(2.0))))
@@ -71,15 +93,23 @@ def evidence(s: Column) -> Column:
     mean = a * (TEXT_MATCH * (n - 1) + 1) - n
     spread = a * F.sqrt(2 * TEXT_MATCH * (1 - TEXT_MATCH) * (n - 1) / n) * 1.5
     uniform = (mean - chi) / spread
-    turns = _occurrences(s, r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+") - 1
-    runs = (turns - TEXT_TURN * (n - 1)) / F.sqrt(TEXT_TURN * (1 - TEXT_TURN) * (n - 1))
+    rate = (_occurrences(s, r"[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+") - 1) / (n - 1)
+    part = lambda x, y: F.when(x > 0, x * F.log(F.greatest(x, F.lit(1e-9)) / y)).otherwise(F.lit(0.0))
+    deviance = 2 * (n - 1) * (part(rate, TEXT_TURN) + part(1 - rate, 1 - TEXT_TURN))
+    runs = F.signum(rate - TEXT_TURN) * F.sqrt(F.greatest(deviance, F.lit(0.0)))
     p = (n - F.char_length(F.regexp_replace(s, "[aeiouAEIOU]", ""))) / n
     swaps = _occurrences(s, "[aeiouAEIOU]+|[^aeiouAEIOU]+") - 1
     serial = F.when((p > 0) & (p < 1), 1 - swaps / ((n - 1) * 2 * p * (1 - p))).otherwise(F.lit(0.0))
     serial = (serial - TEXT_SERIAL) * F.sqrt(n)
-    norm = sum(w * w for w in WEIGHTS) ** 0.5
+    mu = sum(math.exp(x) * x for x in table)
+    sigma = math.sqrt(max(sum(math.exp(x) * (x - mu) ** 2 for x in table), 1e-6))
+    logs = F.array(*map(F.lit, table))
+    likely = F.aggregate(F.split(F.lower(s), ""), F.lit(0.0), lambda acc, c: acc + F.coalesce(F.get(logs, F.ascii(c) - ord("a")), F.lit(0.0)))
+    unusual = (n * mu - likely) / (F.sqrt(n) * sigma * LETTER_SPREAD)
     cap = lambda z: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return (WEIGHTS[0] * cap(uniform) + WEIGHTS[1] * cap(runs) + WEIGHTS[2] * cap(serial)) / norm
+    total = lambda weights, zs: sum(w * cap(z) for w, z in zip(weights, zs)) / sum(w * w for w in weights) ** 0.5
+    score = F.when(s.rlike(ONE_CASE), total(LETTER_WEIGHTS, (unusual, uniform, serial))).otherwise(total(WEIGHTS, (uniform, runs, serial)))
+    return F.when(F.char_length(s) < 2, F.lit(-8.0)).otherwise(score)
 
 
 def tail(z: Column) -> Column:
@@ -87,8 +117,8 @@ def tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(600.0), 1.5976 * z + 0.070566 * F.pow(z, F.lit(3.0)))))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` with its known spans and the strings to be tested; texts are read once."""
+def scan(docs: DataFrame, table: list[float]) -> DataFrame:
+    """One row per row of ``docs`` with its known spans and the strings of 12 and more characters, tested."""
     text = whole_text()
     d = docs.select("doc_id", text.alias("t"))
     matches = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
@@ -100,16 +130,17 @@ def scan(docs: DataFrame) -> DataFrame:
              "hex": spans(F.col("t"), LONG_HEX, F.col("mh"))}
     d = d.select("doc_id", *(F.transform(v, lambda x: x.dropFields("match")).alias(k) for k, v in known.items()),
                  spans(F.col("t"), RUN, F.col("mr")).alias("tried"))
-    mixed = lambda x: x["match"].rlike("[0-9]") | (x["match"].rlike("[a-z]") & x["match"].rlike("[A-Z]"))
-    tried = F.transform(F.filter("tried", mixed), lambda x: F.struct(x["start"], x["end"], letters(x["match"]).alias("core")))
+    tried = F.transform("tried", lambda x: F.struct(x["start"], x["end"], letters(x["match"]).alias("core")))
     d = d.select("doc_id", "assign", "access", "hex", tried.alias("tried"))
-    worth = lambda x: (F.char_length(x["core"]) >= LEAST_LETTERS) & (alphabet(x["core"]) > 10)
-    tested = F.transform(F.filter("tried", worth), lambda x: F.struct(x["start"], x["end"], evidence(x["core"]).alias("z")))
+    tested = F.transform("tried", lambda x: F.struct(x["start"], x["end"], _stratum(x["end"] - x["start"], x["core"]).alias("stratum"),
+                                                     evidence(x["core"], table).alias("z")))
     return materialise(d.select("doc_id", "assign", "access", "hex", tested.alias("tested")))
 
 
-def _stratum(length: Column) -> Column:
-    return sum(((length >= s).cast("int") for s in STRATA[1:]), F.lit(0))
+def _stratum(length: Column, core: Column) -> Column:
+    """Length class, twice as many for strings of several classes and for those of one case or digits alone."""
+    plain = core.rlike(ONE_CASE) | core.rlike("^[0-9]*$")
+    return 2 * sum(((length >= s).cast("int") for s in STRATA[1:]), F.lit(0)) + plain.cast("int")
 
 
 def discovery_limits(found: DataFrame, rate: float = RATE) -> DataFrame:
@@ -117,7 +148,7 @@ def discovery_limits(found: DataFrame, rate: float = RATE) -> DataFrame:
 
     Tails are counted in steps of a twentieth of a decade over all strings, so the table has a fixed size.
     """
-    each = found.select(F.explode("tested").alias("x")).select(_stratum(F.col("x.end") - F.col("x.start")).alias("stratum"), "x.z")
+    each = found.select(F.explode("tested").alias("x")).select("x.stratum", "x.z")
     decade = F.least(F.lit(400), F.floor(-F.log10(tail(F.col("z"))) * 20)).cast("int")
     counts = each.groupBy("stratum", decade.alias("step")).agg(F.count("*").alias("n"), F.min("z").alias("z"))
     down = Window.partitionBy("stratum").orderBy(F.desc("step"))
@@ -130,12 +161,13 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans), one row per row of ``docs``.
 
     Spans are kind:start:end in code points, end exclusive, ordered by start and then kind, comma-joined; strings
-    that the battery reports come as ``random`` unless they overlap a known span. Null and empty texts have no spans
+    that the battery reports come as ``random`` unless they overlap a known span. Every string of 12 characters is tested,
+    of one case or several. Null and empty texts have no spans
     (and the digest of the empty string). An empty table gives no rows; other columns play no part.
     """
-    found = scan(docs)
-    limits = {r["stratum"]: r["least"] for r in discovery_limits(found, rate).collect()}  # at most len(STRATA) rows
-    limit = lambda x: F.coalesce(*(F.when(_stratum(x["end"] - x["start"]) == k, F.lit(float(v))) for k, v in limits.items()), F.lit(1e9))
+    found = scan(docs, letter_table(docs))
+    limits = {r["stratum"]: r["least"] for r in discovery_limits(found, rate).collect()}  # at most twice len(STRATA) rows
+    limit = lambda x: F.coalesce(*(F.when(x["stratum"] == k, F.lit(float(v))) for k, v in limits.items()), F.lit(1e9))
     marked = lambda c, k: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end")))
     base = F.array_sort(F.concat(marked("assign", "assign"), marked("access", "access"), marked("hex", "hex")))
     d = found.withColumn("base", base)

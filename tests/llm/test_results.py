@@ -217,6 +217,34 @@ def test_secrets_against_regexes(make):
     assert found >= 38 and random_found == 0
 
 
+@pytest.mark.parametrize("size, letters, least", [(16, 62, 45), (19, 62, 48), (32, 26, 45), (32, -26, 45), (40, 62, 50)])
+def test_random_strings_among_words(make, size, letters, least):
+    """Short strings and strings of one case are found; long words, names and numbers are left alone."""
+    rng = random.Random(size + letters)
+    signs = "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" * (letters == 62)
+    secret = lambda: "".join(rng.choice(signs) for _ in range(size))
+    shape = str.upper if letters < 0 else str
+    plain = ("International internationalisation INFRASTRUCTURE_AS_CODE responsibilities 123456789012345 2024-01-31-235959 "
+             "well-known-hyphenated-words some_function_name ================ the quick brown fox jumps over the lazy dog and "
+             "every good reader understands that notwithstanding all considerations there are words that go on for long").split()
+    rows = [(k, " ".join(rng.choice(plain) for _ in range(60))) for k in range(200)]
+    rows += [(500 + k, f"{' '.join(rng.sample(plain, 9))} {shape(secret())} {' '.join(rng.sample(plain, 9))}") for k in range(50)]
+    hits = alarms = 0
+    for r in secrets.find_secrets(make(rows)).collect():
+        t = dict(rows)[r.doc_id]
+        for x in filter(lambda x: x.startswith("random"), r.spans.split(",")):
+            _, a, b = x.split(":")
+            own = r.doc_id >= 500 and t[int(a):int(b)] == t.split()[9]
+            hits, alarms = hits + own, alarms + (not own)
+    assert hits >= least and alarms == 0
+
+
+def test_places_of_many_matches(make):
+    t = " ".join("é" * (k % 5) + f"{k:016x}" for k in range(3000))
+    got = secrets.find_secrets(make([(1, t)])).first()
+    assert got.spans.split(",") == [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{16,}", t)]
+
+
 def test_packing_round_trip(make):
     from tokenizers import Tokenizer
 
