@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -14,6 +15,7 @@ LEAD = 3  # most leading tokens on the path to a leaf; shorter lines have a thir
 LEAST_DOCS = 2  # documents that make a line recurring; one more where a token is a variable field
 OPEN_TOKENS = 4  # lines from this length on may have open positions
 FIXED = (2, 3)  # least share of fixed tokens in a template with open positions
+LEAF_BITS = 25  # size of the map of wanted leaves, as a power of two: 4 MB; it only spares shuffling, joins decide
 _STEP, _VARIABLE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 _FIELD = np.zeros(256, bool)
 _FIELD[[*range(48, 58), 64]] = True  # digits and @
@@ -74,10 +76,22 @@ def _line_rows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         ["line", "key", "leaf", "size", "field", "fresh"])
 
 
-def _token_rows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Tokens below the leaf of lines that may have open positions."""
+def _leaf_map(wanted: DataFrame) -> np.ndarray:
+    """A bit for every leaf of ``wanted``; leaves of equal low bits share one."""
+    slot = F.col("leaf").bitwiseAND(F.lit((1 << LEAF_BITS) - 1))
+    one = F.expr("shiftleft(1L, cast(leaf & 63L AS int))")
+    rows = wanted.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (LEAF_BITS - 6), np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _token_rows(raw: np.ndarray, off: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Tokens below the leaf, of lines with a bit in the map of leaves."""
     x = _parsed(raw, off)
-    take = np.flatnonzero(x["size"] >= OPEN_TOKENS)
+    slot = x["leaf"] & np.int64((1 << LEAF_BITS) - 1)
+    held = (leaves[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
+    take = np.flatnonzero((x["size"] >= OPEN_TOKENS) & (held > 0))
     first, rest = x["at"][take] + x["lead"][take], (x["size"] - x["lead"])[take]
     ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(rest)))
     spots = np.arange(ends[-1]) + np.repeat(first - ends[:-1], rest)
@@ -90,8 +104,10 @@ def _lines(texts: pa.Array) -> pa.Array:
     return _structs(texts, _line_rows)
 
 
-def _tokens(texts: pa.Array) -> pa.Array:
-    return _structs(texts, _token_rows)
+def _token_reader(leaves: Broadcast):
+    def tokens(texts: pa.Array) -> pa.Array:
+        return _structs(texts, lambda raw, off: _token_rows(raw, off, leaves.value))
+    return tokens
 
 
 def open_templates(docs: DataFrame, lines: DataFrame, least_docs: int) -> DataFrame:
@@ -105,7 +121,8 @@ def open_templates(docs: DataFrame, lines: DataFrame, least_docs: int) -> DataFr
               .where((F.col("docs") >= least_docs) & (F.col("kinds") > 1)).select("leaf", "docs"))
     wanted = materialise(lines.join(leaves, "leaf"))
     kind = "array<struct<key:long,lead:int,tokens:array<int>>>"
-    read = docs.select("doc_id", F.explode(arrow_udf(_tokens, kind)("text")).alias("x")).select("doc_id", "x.*")
+    tokens = _token_reader(docs.sparkSession.sparkContext.broadcast(_leaf_map(wanted)))
+    read = docs.select("doc_id", F.explode(arrow_udf(tokens, kind)("text")).alias("x")).select("doc_id", "x.*")
     same = (read["key"] == wanted["key"]) & read["doc_id"].eqNullSafe(wanted["owner"])
     held = read.join(wanted, same).select(wanted["key"], "leaf", "size", "n", "owner", "docs", "lead", "tokens")
     held = materialise(held.groupBy("key").agg(*(F.first(c).alias(c) for c in ("leaf", "size", "n", "owner", "docs", "lead", "tokens"))))
