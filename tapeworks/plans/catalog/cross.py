@@ -285,12 +285,29 @@ def _model_rows(spark, sf):
     return materialise(factors(spark, sf).join(net, ["symbol", "data_date"], "left").join(split, "data_date"))
 
 
-@query("ridge_factor_model")
+# three columns, so the normal equations of the standardised columns are written out (Cramer's rule, penalty 1)
+@query("ridge_factor_model", WV("bars", "flows", "cal") + f""", {_FACTORS}, {_NETS}, {_SPLIT},
+m AS (SELECT symbol, data_date, segment, net, flow, trust, mom5 FROM fac JOIN nets USING (symbol, data_date) JOIN sp USING (data_date)
+ WHERE horizon = 5 AND segment <> 'embargo' AND net IS NOT NULL),
+md AS (SELECT median(flow) AS a, median(trust) AS b, median(mom5) AS c FROM m WHERE segment = 'train'),
+x AS (SELECT symbol, data_date, segment, net, coalesce(flow, a) AS x1, coalesce(trust, b) AS x2, coalesce(mom5, c) AS x3 FROM m, md),
+st AS (SELECT count(*) AS n, avg(net) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3,
+ count(*) + 1 AS g, count(*) * corr(x1, x2) AS p, count(*) * corr(x1, x3) AS q, count(*) * corr(x2, x3) AS r,
+ count(*) * covar_pop(x1, net) / stddev_pop(x1) AS v1, count(*) * covar_pop(x2, net) / stddev_pop(x2) AS v2,
+ count(*) * covar_pop(x3, net) / stddev_pop(x3) AS v3 FROM x WHERE segment = 'train'),
+bt AS (SELECT *, g * (g * g - r * r) - p * (p * g - r * q) + q * (p * r - g * q) AS det FROM st),
+pr AS (SELECT symbol, data_date, segment, net, {R("""my
+ + (v1 * (g * g - r * r) - p * (v2 * g - r * v3) + q * (v2 * r - g * v3)) / det * (x1 - m1) / s1
+ + (g * (v2 * g - r * v3) - v1 * (p * g - r * q) + q * (p * v3 - v2 * q)) / det * (x2 - m2) / s2
+ + (g * (g * v3 - v2 * r) - p * (p * v3 - v2 * q) + v1 * (p * r - g * q)) / det * (x3 - m3) / s3""", 9)} AS prediction FROM x, bt),
+{_ic("pr", "prediction", "net", "segment, data_date", 20)}
+SELECT segment, count(*) AS n_days, {R("avg(ic)", 6)} AS ic FROM ic GROUP BY 1""")
 def ridge_factor_model(spark, sf):
-    """Test-segment rank IC of the ridge prediction."""
+    """Rank IC of the ridge prediction by segment."""
     _, scored = models.fit_and_score(_model_rows(spark, sf), ["flow", "trust", "mom5"], "net")
-    ic = research.rank_ic(scored.where("net IS NOT NULL"), ["segment", "data_date"], "prediction", "net", 20)
-    return ic.groupBy("segment").agg(F.count(F.lit(1)).alias("n_days"), F.avg("ic").alias("ic"))
+    known = scored.where("net IS NOT NULL").withColumn("prediction", rounded(F.col("prediction"), 9))
+    ic = research.rank_ic(known, ["segment", "data_date"], "prediction", "net", 20)
+    return ic.groupBy("segment").agg(F.count(F.lit(1)).alias("n_days"), _r("ic", F.avg("ic"), 6))
 
 
 @query("gbm_importance")

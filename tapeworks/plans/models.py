@@ -2,13 +2,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.operators import order_stats
+
 
 def feature_frame(rows: DataFrame, payload: str, columns: Sequence[str]) -> DataFrame:
     """JSON payload to numeric columns; booleans become 0/1, anything unreadable NULL."""
@@ -25,16 +29,49 @@ def usable(train: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if seen[c]]
 
 
-def ridge(columns: Sequence[str], label: str, n_rows: int, alpha: float = 1.0) -> Pipeline:
-    """Median fill, standardise, ridge. The penalty alpha of the summed loss is alpha / n of the mean one."""
-    filled = [f"_i_{c}" for c in columns]
-    return Pipeline(stages=[
-        Imputer(strategy="median", inputCols=list(columns), outputCols=filled, relativeError=1e-4),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="_x"),
-        LinearRegression(featuresCol="_x", labelCol=label, predictionCol="prediction", elasticNetParam=0.0,
-                         regParam=alpha / max(n_rows, 1), standardization=False),
-    ])
+@dataclass(frozen=True)
+class Ridge:
+    """A fitted ridge: per column the fill, mean and scale it was fitted with, and its coefficient."""
+    columns: tuple[str, ...]
+    fills: tuple[float, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    coefficients: tuple[float, ...]
+    intercept: float
+
+    def prediction(self) -> Column:
+        out = F.lit(self.intercept)
+        for c, fill, mean, scale, b in zip(self.columns, self.fills, self.means, self.scales, self.coefficients):
+            known = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(fill))
+            out = out + F.lit(b) * (known - F.lit(fill + mean)) / F.lit(scale)
+        return out
+
+
+def ridge(train: DataFrame, columns: Sequence[str], label: str, alpha: float = 1.0) -> Ridge:
+    """Median fill, standardise (population deviation; a constant column keeps scale 1), ridge with penalty ``alpha``
+    on the summed loss.
+
+    The rows are read for exact medians and once more for their moments; counts, sums and cross products combine
+    before the shuffle, so p rows of p numbers come back and the normal equations are solved from them.
+    """
+    cols, p = list(columns), len(columns)
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols]
+    melted = train.select(F.posexplode(F.array(*known)).alias("i", "v"))
+    fills = [0.0] * p
+    for r in order_stats.quantiles(melted, ["i"], "v", {"mid": 0.5}).collect():
+        fills[r["i"]] = r["mid"]
+    shifted = F.array(*(F.coalesce(k, F.lit(f)) - F.lit(f) for k, f in zip(known, fills)))
+    rows = train.select(shifted.alias("x"), F.col(label).cast("double").alias("y")).select("x", "y", F.posexplode("x").alias("i", "v"))
+    sums = rows.groupBy("i").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.sum("y").alias("y"), F.sum(F.col("v") * F.col("y")).alias("vy"),
+                                 F.array(*(F.sum(F.col("v") * F.col("x")[j]) for j in range(p))).alias("vx")).orderBy("i").collect()
+    n = float(sums[0]["n"])
+    mean, my = np.array([r["v"] for r in sums]) / n, sums[0]["y"] / n
+    cov = np.array([r["vx"] for r in sums]) / n - np.outer(mean, mean)
+    sd = np.sqrt(np.clip(np.diag(cov), 0.0, None))
+    scale = np.where(sd > 0, sd, 1.0)
+    gram = n * cov / np.outer(scale, scale) + alpha * np.eye(p)
+    b = np.linalg.solve(gram, n * (np.array([r["vy"] for r in sums]) / n - mean * my) / scale)
+    return Ridge(tuple(cols), *(tuple(map(float, v)) for v in (fills, mean, scale, b)), float(my))
 
 
 def boosted(columns: Sequence[str], label: str, rounds: int = 300, seed: int = 42) -> Pipeline:
@@ -50,18 +87,20 @@ def boosted(columns: Sequence[str], label: str, rounds: int = 300, seed: int = 4
 
 
 def fit_and_score(rows: DataFrame, columns: Sequence[str], label: str, kind: str = "ridge",
-                  min_rows: int = 50) -> tuple[PipelineModel | None, DataFrame]:
+                  min_rows: int = 50) -> tuple[Ridge | PipelineModel | None, DataFrame]:
     """Fit on ``segment = 'train'`` rows with a label; predict every train and test row."""
     labelled = rows.where((F.col("segment") == "train") & F.col(label).isNotNull())
+    wanted = rows.where(F.col("segment").isin("train", "test"))
     n = labelled.count()
-    if n < min_rows:
-        return None, rows.withColumn("prediction", F.lit(None).cast("double"))
     cols = usable(labelled, columns)
-    plan = ridge(cols, label, n) if kind == "ridge" else boosted(cols, label)
+    if n < min_rows or not cols:
+        return None, rows.withColumn("prediction", F.lit(None).cast("double"))
+    if kind == "ridge":
+        fitted = ridge(labelled, cols, label)
+        return fitted, wanted.withColumn("prediction", fitted.prediction())
     held = F.pmod(F.xxhash64(*cols, label), F.lit(7)) == 0
-    model = plan.fit(labelled.withColumn("_held", held))
-    scored = model.transform(rows.where(F.col("segment").isin("train", "test")))
-    return model, scored.drop("_raw", "_x", *[f"_i_{c}" for c in cols])
+    model = boosted(cols, label).fit(labelled.withColumn("_held", held))
+    return model, model.transform(wanted).drop("_x", *[f"_i_{c}" for c in cols])
 
 
 def importances(model: PipelineModel, columns: Sequence[str], rows: DataFrame) -> DataFrame:
