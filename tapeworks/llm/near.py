@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,11 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tapeworks.llm.common import keep_rows, row_key
-from tapeworks.llm.words import mixed, shingles, text_chunks, word_hashes
-from tapeworks.session import materialise
+from tapeworks.llm.words import mixed, release, shingles, text_chunks, word_hashes
+from tapeworks.session import discard, materialise
 
 COORDINATES = 64
-BUCKETS = 1 << 20  # counters of the frequency sketch
+MAP_BITS = 26  # a bit map of hashes has 2^26 bits (8 MB) at most
+SLICE = 16  # coordinates whose values are counted by one aggregate
 SKETCH = "n_shingles long, low long, high long, sig array<int>"
 STAR = 4  # of its rarest coordinates, so many give a document a pair in the first round
 BLOCK = 512  # members of a posting that are compared at once
@@ -52,6 +55,7 @@ def _sketch(texts: pa.Array) -> pa.Array:
     rows = len(flat) // COORDINATES
     sig = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * COORDINATES), pa.array(flat))
     cat = lambda xs: pa.array(np.concatenate(xs) if xs else np.zeros(0, np.int64))
+    release()
     return pa.StructArray.from_arrays([cat(counts), cat(low), cat(high), sig], ["n_shingles", "low", "high", "sig"])
 
 
@@ -64,6 +68,7 @@ def _shingle_set(texts: pa.Array) -> pa.Array:
             u = np.unique(s[end[d] - per[d]:end[d]])
             sizes.append(len(u)), values.append(u.view(np.int64))
     flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    release()
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
 
 
@@ -83,31 +88,65 @@ def representatives(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.select("low", "high", "n_shingles", "node"), classes.select("node", "low", "raw", "n_shingles", "sig")
 
 
+def _bit_map(keys: DataFrame) -> tuple[DataFrame, int]:
+    """((word, bits), number of bits): a bit for every 64-bit hash in ``keys`` (its only column), by its low bits.
+
+    Above MAP_BITS it grows no more and lets more others pass; what it lets pass still has to meet ``keys`` in a join.
+    """
+    bits = max(16, min(MAP_BITS, (32 * keys.count()).bit_length()))
+    one = F.expr(f"shiftleft(1L, cast(`{keys.columns[0]}` & 63L AS int))")
+    return keys.groupBy(_word(F.col(keys.columns[0]), bits).alias("word")).agg(F.bit_or(one).alias("bits")), bits
+
+
+def _word(h: Column, bits: int) -> Column:
+    return F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6)
+
+
+def _may_hold(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Tells which hashes may be among ``keys``: all that are, and few others. The map goes to every executor."""
+    words, bits = _bit_map(keys)
+    rows = words.toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    def held(h: np.ndarray) -> np.ndarray:
+        at = h & np.int64((1 << bits) - 1)
+        return (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return held
+
+
 def rare_prefix(nodes: DataFrame, matches: int) -> DataFrame:
-    """(node, low, n_shingles, tokens): the rarest coordinates of each signature, the rarest first; written once.
+    """(node, low, raw, n_shingles, sig, tokens) of nodes that may have a partner: their rarest shared coordinates, the
+    rarest first; written once.
 
     Two signatures with ``matches`` common values share one among any K - matches + 1 coordinates if both take them
-    by one global order. The order is by frequency over all documents, counted in a sketch of fixed size, so the
-    long postings come last and are skipped.
+    by one global order. The order is by exact frequency, so the long postings come last and are skipped. Coordinates
+    of one node alone come first and lead nowhere; a node with fewer than ``matches`` others has no partner.
     """
     token = lambda k: F.xxhash64(F.lit(k), F.col("sig")[k])
-    tokens = F.array(*(token(k) for k in range(COORDINATES)))
-    place = lambda t: F.pmod(t, F.lit(BUCKETS)).cast("int")
-    d = nodes.select("node", "low", "n_shingles", tokens.alias("tokens"))
-    counts = (d.select(F.explode("tokens").alias("t")).groupBy(place(F.col("t")).alias("bucket")).count()
-              .where("count > 1").select("bucket", F.col("count").cast("int").alias("n")).toArrow())  # at most BUCKETS rows
-    table = np.ones(BUCKETS, np.int32)
-    table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
-    keep = COORDINATES - matches + 1
+    d = nodes.withColumn("tokens", F.array(*(token(k) for k in range(COORDINATES))))
+    # the values of a coordinate are its own, so slices count apart, each in a smaller table of its task
+    parts = [d.select(F.explode(F.slice("tokens", k + 1, SLICE)).alias("token")).groupBy("token").agg(F.count("*").cast("int").alias("n"))
+             for k in range(0, COORDINATES, SLICE)]
+    common = materialise(reduce(DataFrame.unionAll, parts).where("n > 1"))
+    held = _may_hold(common.select("token"))
 
     @arrow_udf("array<long>")
-    def rarest(lists: pa.Array) -> pa.Array:
-        t = lists.flatten().to_numpy().reshape(-1, COORDINATES)
-        order = np.lexsort((t, table[np.mod(t, BUCKETS)]), axis=1)[:, :keep]
-        flat = np.take_along_axis(t, order, 1).ravel()
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * keep), pa.array(flat))
-
-    return materialise(d.select("node", "low", "n_shingles", rarest("tokens").alias("tokens")))
+    def shared(lists: pa.Array) -> pa.Array:
+        t = lists.flatten().to_numpy()
+        ok = held(t)
+        ends = np.concatenate(([0], np.cumsum(ok.reshape(-1, COORDINATES).sum(1))))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t[ok]))
+
+    some = materialise(d.withColumn("tokens", shared("tokens")).where(F.size("tokens") >= matches))
+    ranked = (some.select("node", "low", F.explode("tokens").alias("token")).join(common, "token")
+              .groupBy("node", "low").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t")))
+    short = ranked.where(F.size("t") >= matches).select(
+        "node", "low", F.slice(F.col("t.token"), F.lit(1), F.size("t") - (matches - 1)).alias("tokens"))
+    out = materialise(some.drop("tokens").join(short, ["node", "low"]))
+    discard(common), discard(some)
+    return out
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -141,13 +180,22 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int,
             .join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
             .withColumn("common", F.size(F.array_intersect("x", "y")))
             .where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))))
-    return materialise(both.select("a", "b"))
+    links = materialise(both.select("a", "b"))
+    for used in (counted, wanted, sets):
+        discard(used)
+    return links
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, s): the full shingle set of each wanted row (k, __id, __raw), from its whole text."""
-    texts = docs.select("doc_id", "text").join(wanted, (F.col("doc_id") == F.col("__id")) & (row_key() == F.col("__raw")))
-    one = texts.select("k", "text").dropDuplicates(["k"])
+    """(k, s): the full shingle set of each wanted row (k, __id, __raw), from its whole text.
+
+    A bit map of the wanted identifiers keeps other texts out of the shuffle.
+    """
+    words, bits = _bit_map(wanted.select(F.xxhash64("__id").alias("h")))
+    d = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).join(F.broadcast(words), _word(F.col("h"), bits) == F.col("word"))
+    d = d.where("(shiftright(bits, cast(h & 63L AS int)) & 1L) = 1")
+    texts = d.select("doc_id", row_key().alias("raw"), "text").groupBy("doc_id", "raw").agg(F.first("text").alias("text"))
+    one = texts.join(wanted, (F.col("doc_id") == F.col("__id")) & (F.col("raw") == F.col("__raw")))
     return materialise(one.select("k", arrow_udf(_shingle_set, "array<long>")("text").alias("s")))
 
 
@@ -171,7 +219,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                                                 F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialise(small.select("e.*").where("u <> v").distinct())
+        edges, before = materialise(small.select("e.*").where("u <> v").distinct()), edges
+        discard(before)
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -191,14 +240,20 @@ def near_links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                                         F.count("*").alias("members")).where("members > 1"))
     l, r = first.alias("l"), heads.select("token", "head.*").alias("r")
     star = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.low") != F.col("r.low")) & near).select(*_pair("l", "r"))
-    links = confirmed(star, nodes, docs, percent, matches)
+    links = confirmed(star, prefix, docs, percent, matches)
     joined = components(_node_links(links))
     held = _unsettled(posts.select("token", "node", "low", "n_shingles"), joined)
-    if held.isEmpty():
-        return joined
-    carried = nodes.select("node", "low", "raw", "sig").join(prefix.select("node", "low", "tokens"), ["node", "low"])
-    more = _block_links(_blocks(held).join(carried, ["node", "low"]), docs, percent, matches)
-    return components(_node_links(links.union(more)))
+    if not held.isEmpty():
+        blocks = _blocks(held)
+        carried = prefix.select("node", "low", "raw", "sig", "tokens")
+        more = _block_links(blocks, carried, docs, percent, matches)
+        settled = components(_node_links(links.union(more)))
+        for used in (blocks, more, joined):
+            discard(used)
+        joined = settled
+    for used in (prefix, links, held):
+        discard(used)
+    return joined
 
 
 def _blocks(held: DataFrame) -> DataFrame:
@@ -222,7 +277,11 @@ def _alike(p: pd.DataFrame, percent: int, matches: int) -> list[tuple[np.ndarray
     the posting of the rarest coordinate it shares."""
     low, n, comp = (p[c].to_numpy() for c in ("low", "n_shingles", "component"))
     token, block, i, j = (p[c].to_numpy() for c in ("token", "block", "i", "j"))
-    sig, tokens = np.stack(p["sig"].to_numpy()), np.stack(p["tokens"].to_numpy())
+    sig = np.stack(p["sig"].to_numpy())
+    size = p["tokens"].str.len().to_numpy()
+    real = np.arange(size.max()) < size[:, None]
+    tokens = np.zeros(real.shape, np.int64)
+    tokens[real] = np.concatenate(p["tokens"].to_numpy())
     order = np.argsort(token, kind="stable")
     out = []
     for rows in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
@@ -241,14 +300,16 @@ def _alike(p: pd.DataFrame, percent: int, matches: int) -> list[tuple[np.ndarray
             u, v = u[good], v[good]
             if len(u):
                 # the order of coordinates is one for all, so the first common one of either list is the rarest
-                common = (tokens[u][:, :, None] == tokens[v][:, None, :]).any(2)
+                common = ((tokens[u][:, :, None] == tokens[v][:, None, :]) & real[v][:, None, :]).any(2) & real[u]
                 first = tokens[u, common.argmax(1)] == token[u]
                 out.append((u[first], v[first]))
     return out
 
 
-def _block_links(held: DataFrame, docs: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Links (a, b) between components that meet in postings; enough of them to join what is linked."""
+def _block_links(blocks: DataFrame, carried: DataFrame, docs: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Links (a, b) between components that meet in postings; enough of them to join what is linked.
+
+    ``carried`` has signature and coordinates of each node; what the first comparison leaves gets them anew."""
     def partners(p: pd.DataFrame) -> pd.DataFrame:
         hit = [np.concatenate(pair) for pair in _alike(p, percent, matches)]
         rows = np.unique(np.concatenate(hit)) if hit else []
@@ -278,16 +339,18 @@ def _block_links(held: DataFrame, docs: DataFrame, percent: int, matches: int) -
 
     base = ("node long, low long, token long, n_shingles long, component long, block int, gate long, i int, j int, raw long")
     columns = [c.split()[0] for c in base.split(", ")]
-    needed = held.select(*columns, "sig", "tokens").groupBy("gate", "i", "j").applyInPandas(partners, base)
-    needed = materialise(needed)
+    met = blocks.join(carried, ["node", "low"]).select(*columns, "sig", "tokens")
+    needed = materialise(met.groupBy("gate", "i", "j").applyInPandas(partners, base))
     wanted = materialise(needed.select("node", "low", "raw").distinct().select(
         F.struct("node", "low").alias("k"), F.col("node").alias("__id"), F.col("raw").alias("__raw")))
     sets = _sets(docs, wanted).select("k.node", "k.low", "s")
-    full = (needed.join(held.select("node", "low", "token", "i", "j", "sig", "tokens"), ["node", "low", "token", "i", "j"])
-            .join(sets, ["node", "low"]))
+    full = needed.join(carried.drop("raw"), ["node", "low"]).join(sets, ["node", "low"])
     got = full.groupBy("gate", "i", "j").applyInPandas(links, "an long, al long, bn long, bl long")
-    return materialise(got.select(F.struct(F.col("an").alias("node"), F.col("al").alias("low")).alias("a"),
-                                  F.struct(F.col("bn").alias("node"), F.col("bl").alias("low")).alias("b")))
+    found = materialise(got.select(F.struct(F.col("an").alias("node"), F.col("al").alias("low")).alias("a"),
+                                   F.struct(F.col("bn").alias("node"), F.col("bl").alias("low")).alias("b")))
+    for used in (needed, wanted, sets):
+        discard(used)
+    return found
 
 
 def _common(sets: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -315,13 +378,29 @@ def _unsettled(posts: DataFrame, joined: DataFrame) -> DataFrame:
     named = posts.join(_few(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = materialise(named.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"))
                           .where("a <> b").select("token"))
-    return materialise(named.join(_few(several), "token", "left_semi"))
+    held = materialise(named.join(_few(several), "token", "left_semi"))
+    discard(several)
+    return held
 
 
 def _node_links(links: DataFrame) -> DataFrame:
     return links.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
 
 
+def _marked(docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``near_duplicates`` and the written tables they are read from."""
+    sigs = signatures(docs)
+    classes, nodes = representatives(sigs)
+    joined = near_links(docs, nodes, percent)
+    label = classes.join(joined, "node", "left").select("low", "high", "n_shingles",
+                                                        F.coalesce("component", "node").alias("component"))
+    d = sigs.select("doc_id", "raw", "low", "high", "n_shingles").join(label, ["low", "high", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+    d = d.select("doc_id", "raw", "n_shingles", component.alias("component_id"))
+    marks = d.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return marks, [sigs, nodes, joined]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, raw, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -331,17 +410,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     identifier links with nothing, has a null component and is kept. Rows that repeat an identifier with another text
     are judged each by its own text. An empty table gives no rows.
     """
-    sigs = signatures(docs)
-    classes, nodes = representatives(sigs)
-    joined = near_links(docs, nodes, percent)
-    label = classes.join(joined, "node", "left").select("low", "high", "n_shingles",
-                                                        F.coalesce("component", "node").alias("component"))
-    d = sigs.select("doc_id", "raw", "low", "high", "n_shingles").join(label, ["low", "high", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
-    d = d.select("doc_id", "raw", "n_shingles", component.alias("component_id"))
-    return d.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _marked(docs, percent)[0]
 
 
 def drop_near(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; all rows of the document that stays are kept."""
-    return keep_rows(docs, materialise(near_duplicates(docs, percent).select("doc_id", "raw", "kept")))
+    marks, used = _marked(docs, percent)
+    marks = materialise(marks.select("doc_id", "raw", "kept"))
+    for table in used:
+        discard(table)
+    return keep_rows(docs, marks)
