@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tapeworks.config import settings
 from tapeworks.operators import (adjust, backtest, cross_section, filings, flows, joins, merge, order_stats, prefix,
                                  research, ticks)
+from tapeworks.session import materialise
 
 CFG = settings()
 D0 = date(2026, 1, 5)
@@ -35,6 +36,34 @@ def test_ranks_and_quantiles_match_numpy_under_heavy_ties(spark):
     assert q["one"]["b"] == 3.5
 
 
+def test_z_of_columns_equals_the_melted_z_and_shuffles_no_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(s), int(d), float(rng.normal()) if rng.random() > 0.1 else None, float(rng.choice([0.0, 1.0, 1e9, -3.0])),
+             None if d else 7.0) for d in range(3) for s in range(700)] + [(None, 1, 5.0, 2.0, None), (9, None, 5.0, 2.0, 1.0)]
+    columns = ["a", "b", "c"]
+    wide = materialise(spark.createDataFrame(rows, "symbol int, day int, a double, b double, c double"))
+    long = cross_section.melt(wide, ["symbol", "day"], columns)
+    for q in (0.01, 0.0):
+        want = {(r.symbol, r.day, r.factor): r.z for r in cross_section.winsor_z(long, ["day", "factor"], "value", "z", q).collect()}
+        out = cross_section.winsor_z_columns(wide, "day", columns, q)
+        got = {(r.symbol, r.day, c): r[c] for r in out.collect() for c in columns}
+        assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None}, rel=1e-9, abs=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # what is made per day goes to the rows, not the rows to it
+
+
+def test_narrowed_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    values = {0: rng.normal(size=4000), 1: rng.choice([-1.0, 0.0, 5.0], 500), 2: np.exp(rng.normal(size=300) * 9), 3: np.array([4.0])}
+    df = materialise(spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [(0, None)], "k int, v double"))
+    qs = {"a": 0.01, "b": 0.5, "c": 0.99}
+    for r in order_stats.quantiles(df, ["k"], "v", qs, narrow=True).collect():
+        assert r["_n"] == len(values[r["k"]])
+        assert [r[n] for n in qs] == pytest.approx([float(np.quantile(values[r["k"]], q)) for q in qs.values()], rel=1e-12)
+    r = order_stats.quantiles(df, [], "v", qs, narrow=True).first()
+    assert [r[n] for n in qs] == pytest.approx([float(np.quantile(np.concatenate(list(values.values())), q)) for q in qs.values()], rel=1e-12)
+
+
 def test_value_bucket_is_monotone(spark):
     vals = sorted({s * m * 2.0 ** e for s in (-1, 1) for e in (-3, 0, 1, 10) for m in (1.0, 1 - 2 ** -53, 1.5, 1.9999999)} | {0.0})
     df = spark.createDataFrame([(v,) for v in vals], "v double")
