@@ -102,6 +102,31 @@ def test_action_changes_across_batches(spark, tmp_path):
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
 
 
+def test_state_calls_follow_parts_and_not_symbols(spark, tmp_path):
+    rng = random.Random(4)
+    rows, want = [], set()
+    for symbol in [None, *(f"s{k}" for k in range(300))]:
+        last = None
+        for d in sorted(rng.sample(range(60), 3)):
+            action = rng.choice(["BUY", "HOLD"])
+            if last is None or d - last[0] > 10 or last[1] != action:
+                want.add((symbol, d, action, last[1] if last and d - last[0] <= 10 else None))
+            rows.append((symbol, T0.date() + dt.timedelta(days=d), action, 1.0, T0 + dt.timedelta(days=d), rng.randint(0, 2)))
+            last = d, action
+    rows.append(("end", T0.date(), "HOLD", 0.0, T0 + dt.timedelta(days=400), 9))
+    df = spark.createDataFrame(rows, "symbol string, data_date date, action string, chip_score double, at timestamp, k int")
+    replay.stage_slices(df, f"{tmp_path}/in", F.col("k"))
+    s = replay.stream_slices(spark, f"{tmp_path}/in", df.schema).withWatermark("at", "90 days")
+    with ordered.state_store(spark, 2):
+        q = st.write_append(ordered.action_changes(s, 10, ["BUY", "HOLD"], "at"), f"{tmp_path}/out", f"{tmp_path}/c").start()
+        q.awaitTermination()
+    got = {(r.symbol, (r.data_date - T0.date()).days, r.action, r.prev_action) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == want
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(held) <= 4 * 16  # sixteen parts, a frame of each for each batch; 903 rows waited one by one before
+    assert held[-1] == 1
+
+
 def test_large_trade_limit_is_within_its_error(spark):
     rng = np.random.default_rng(3)
     sizes = np.maximum(1, rng.lognormal(4, 1.5, 3000).astype(int))
