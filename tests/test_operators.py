@@ -1,5 +1,7 @@
 import random
+import time
 from datetime import date, datetime, timedelta
+from pathlib import Path
 from statistics import fmean
 
 import numpy as np
@@ -52,6 +54,48 @@ def test_z_of_columns_equals_the_melted_z_and_shuffles_no_rows(spark):
     assert "hashpartitioning" not in plan  # what is made per day goes to the rows, not the rows to it
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    return {f for f in files if "/shuffle_" in f}
+
+
+def test_a_written_step_gives_the_shuffle_files_before_it_back(spark):
+    before = shuffle_files(spark)
+    df = materialise(spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count().join(spark.range(60).withColumnRenamed("id", "k").repartition(3), "k"))
+    taken = shuffle_files(spark) - before
+    assert materialise(df).count() == 50
+    for _ in range(100):  # Spark deletes them in a thread of its own
+        if not shuffle_files(spark) & taken:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) & taken
+
+
+def test_rank_ic_leaves_its_result_only(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, float(rng.integers(9)), float(rng.normal())) for d in range(4) for _ in range(60)]
+    df = materialise(spark.createDataFrame(rows, "data_date int, x double, y double"))
+    folder = Path(df.inputFiles()[0].removeprefix("file:")).parents[1]
+    before = {p.name for p in folder.iterdir()}
+    out = research.rank_ic(df, ["data_date"], "x", "y", 20)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len({p.name for p in folder.iterdir()} - before) == 1  # ranks, positions and values are deleted
+    for r in out.collect():
+        x, y = (np.array([row[k] for row in rows if row[0] == r.data_date]) for k in (1, 2))
+        rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+        assert r.ic == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_upsert_takes_a_row_from_one_aggregate(spark):
+    old = spark.createDataFrame([(1, "a", 1.0, 5), (2, "b", None, 6)], "k int, x string, y double, z int")
+    new = spark.createDataFrame([(2, None, 9.0, 7), (3, "c", 3.0, 8)], old.schema)
+    out = merge.upsert(old, new, ["k"], update=["x", "y"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a", 1.0, 5), (2, None, 9.0, 6), (3, "c", 3.0, 8)]
+    whole = merge.upsert(old, new, ["k"])
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("max_by") == 1  # one for each column before
+    assert sorted(tuple(r) for r in whole.collect()) == [(1, "a", 1.0, 5), (2, None, 9.0, 7), (3, "c", 3.0, 8)]
+
+
 def test_narrowed_quantiles_are_exact(spark):
     rng = np.random.default_rng(6)
     values = {0: rng.normal(size=4000), 1: rng.choice([-1.0, 0.0, 5.0], 500), 2: np.exp(rng.normal(size=300) * 9), 3: np.array([4.0])}
