@@ -11,14 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _newest(c: str, rank: Column) -> Column:
-    return F.max_by(F.struct(c), rank)[c].alias(c)
-
-
-def _oldest(c: str, rank: Column) -> Column:
-    return F.min_by(F.struct(c), rank)[c].alias(c)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *,
            update: Sequence[str] | None = None, seq: str | None = None,
            touch: str | None = None, now: Column | None = None) -> DataFrame:
@@ -32,17 +24,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *,
             "_q", F.col(seq).cast("bigint") if seq else F.lit(None).cast("bigint")),
         allowMissingColumns=True)
     rank = F.struct("_o", "_q")
-    aggs = []
-    for c in old.columns:
-        if c in keys:
-            continue
-        if c == touch:
-            aggs.append(F.when(F.max("_o") == 1, now).otherwise(F.max(c)).alias(c))
-        elif c in update:
-            aggs.append(_newest(c, rank))
-        else:
-            aggs.append(_oldest(c, rank))
-    return tagged.groupBy(*keys).agg(*aggs).select(*old.columns)
+    own = [c for c in old.columns if c not in keys and c != touch]
+    # one aggregate for all columns that are taken from one row: its rank is kept, shuffled and compared once
+    newest, oldest = [c for c in own if c in update], [c for c in own if c not in update]
+    aggs = [f(F.struct(*cs), rank).alias(name) for f, cs, name in ((F.max_by, newest, "_newest"), (F.min_by, oldest, "_oldest")) if cs]
+    if touch in old.columns and touch not in keys:
+        aggs.append(F.when(F.max("_o") == 1, now).otherwise(F.max(touch)).alias(touch))
+    if not aggs:
+        return tagged.groupBy(*keys).agg(F.lit(1)).select(*old.columns)
+    return tagged.groupBy(*keys).agg(*aggs).select(*[
+        F.col(f"_newest.{c}").alias(c) if c in newest else F.col(f"_oldest.{c}").alias(c) if c in oldest else F.col(c) for c in old.columns])
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

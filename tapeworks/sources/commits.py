@@ -4,11 +4,14 @@ from __future__ import annotations
 import json
 import uuid
 from typing import Any
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tapeworks.session import release
+
 COMMIT = "commit"  # partition folder of one staged write
 
 
@@ -67,8 +70,13 @@ class CommitLog:
         name = uuid.uuid4().hex
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(f"{self.root}/{table}/{COMMIT}={name}")
+        release(self.spark)
         return name
 
+    def parts(self, table: str, name: str, by: str) -> set[str]:
+        """Values of ``by`` that a staged write has rows of."""
+        return {unquote(n.split("=", 1)[1]) for n in self._names(table, f"{COMMIT}={name}") if n.startswith(f"{by}=")}
+
     def load(self, table: str, schema: StructType, paths: list[str]) -> DataFrame:
         """Rows of staged folders (or folders inside them), without the commit column."""
         if not paths:

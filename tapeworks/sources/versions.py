@@ -12,6 +12,9 @@ from tapeworks.session import discard, materialise
 from tapeworks.sources.commits import CommitLog
 
 
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"  # folder of rows without a date
+
+
 class VersionConflict(RuntimeError):
     """Another writer made the version first; read again and repeat."""
 
@@ -59,20 +62,20 @@ class VersionedDays:
         old = self._manifest(base)
         new = materialise(rows)
         gone = materialise((rows.limit(0) if removed is None else removed).select(*self.keys).distinct())
-        days = {str(r[0]) for r in new.select(self.date).distinct().union(gone.select(self.date).distinct()).collect()}  # calendar days
+        days = {NO_DAY if r[0] is None else str(r[0]) for r in new.select(self.date).distinct().union(gone.select(self.date).distinct()).collect()}  # calendar days
         stored = self.read(base, sorted(days)) if base is not None else new.limit(0)
-        stored = materialise(stored.select(*new.columns))
+        stored = stored.select(*new.columns)
         left = stored.join(gone, self.keys, "left_anti")
-        merged = materialise(upsert(left, new, self.keys).select(*new.columns))
+        merged = upsert(left, new, self.keys).select(*new.columns)
         dead = stored.select(*self.keys).join(gone, self.keys, "left_semi").join(new.select(*self.keys), self.keys, "left_anti")
         number = 0 if base is None else base + 1
         folder = self.log.stage(merged.repartition(self.date), "rows", self.date)
         grave = self.log.stage(dead.withColumn("version", F.lit(number).cast("long")), "tombstones")
-        filled = {str(r[0]) for r in merged.select(self.date).distinct().collect()}
+        filled = self.log.parts("rows", folder, self.date)
         body = {"schema": new.schema.jsonValue(), "tombstones": [*old["tombstones"], grave],
                 "days": {d: f for d, f in old["days"].items() if d not in days} | {d: folder for d in sorted(filled)}}
         done = self.log.publish(number, body)
-        for table in (new, gone, stored, merged):
+        for table in (new, gone):
             discard(table)
         if not done:
             raise VersionConflict(f"version {number} is taken")

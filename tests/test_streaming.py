@@ -226,6 +226,18 @@ def test_versions_delete_then_upsert_and_readers_keep_theirs(spark, tmp_path):
     assert files(0) == files(1)  # versions share the dates they did not touch
 
 
+def test_a_rewrite_copies_only_the_new_rows(spark, tmp_path, monkeypatch):
+    from tapeworks.sources import versions
+
+    copies, write = [], versions.materialise
+    monkeypatch.setattr(versions, "materialise", lambda df: copies.append(df.columns) or write(df))
+    t = VersionedDays(spark, str(tmp_path / "v"), ["symbol", "data_date"])
+    t.rewrite(spark.createDataFrame([(1, D[0], 1.0, []), (2, D[1], 2.0, []), (7, None, 7.0, [])], SNAP))
+    t.rewrite(spark.createDataFrame([(1, D[0], 5.0, []), (8, None, 8.0, [])], SNAP))
+    assert len(copies) == 4  # new rows and removed keys, of each; stored and merged rows were copied too before
+    assert sorted((r.symbol, r.score) for r in t.read().collect()) == [(1, 5.0), (2, 2.0), (7, 7.0), (8, 8.0)]
+
+
 def test_two_writers_of_a_version(spark, tmp_path, monkeypatch):
     t = VersionedDays(spark, str(tmp_path / "v"), ["symbol", "data_date"])
     first = spark.createDataFrame([(1, D[0], 1.0, [])], SNAP)
